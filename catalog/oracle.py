@@ -68,7 +68,7 @@ def _site(n: str) -> str:
     return (
         f"CAST(({n} * 37) % 121 - 60 AS DOUBLE) AS latitude_deg, "
         f"CAST(({n} * 53) % 360 - 180 AS DOUBLE) AS longitude_deg, "
-        f"CAST(({n} * 7) % 91 AS DOUBLE) AS tilt_deg, "
+        f"CAST(({n} * 7) % 91 + 0.25 AS DOUBLE) AS tilt_deg, "
         f"CAST(({n} * 11) % 360 AS DOUBLE) AS azimuth_deg"
     )
 
@@ -154,21 +154,6 @@ _CTE["g_aligned"] = """
 SELECT series_id, ts, generation, capacity, load, cf
 FROM g_grid LEFT JOIN c_readings USING (series_id, ts)"""
 
-_CTE["g_neighbours"] = """
-SELECT *,""" + ",".join(
-    f"""
-  last_value(CASE WHEN {c} IS NOT NULL THEN ts END IGNORE NULLS) OVER before AS {c}_t0,
-  last_value({c} IGNORE NULLS) OVER before AS {c}_x0,
-  first_value(CASE WHEN {c} IS NOT NULL THEN ts END IGNORE NULLS) OVER after AS {c}_t1,
-  first_value({c} IGNORE NULLS) OVER after AS {c}_x1"""
-    for c in ("generation", "cf", "load")
-) + """
-FROM g_aligned WINDOW
-  before AS (PARTITION BY series_id ORDER BY ts
-    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-  after AS (PARTITION BY series_id ORDER BY ts
-    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
-
 
 def _fill(c: str) -> str:
     span = f"date_diff('hour', {c}_t0, {c}_t1)"
@@ -178,9 +163,29 @@ def _fill(c: str) -> str:
     )
 
 
-_CTE["g_filled"] = f"""
+def _filled(tag: str) -> None:
+    """Short gaps of ``{tag}_aligned`` filled, as CTE ``{tag}_filled``."""
+    neighbours = ",".join(
+        f"""
+  last_value(CASE WHEN {c} IS NOT NULL THEN ts END IGNORE NULLS) OVER before AS {c}_t0,
+  last_value({c} IGNORE NULLS) OVER before AS {c}_x0,
+  first_value(CASE WHEN {c} IS NOT NULL THEN ts END IGNORE NULLS) OVER after AS {c}_t1,
+  first_value({c} IGNORE NULLS) OVER after AS {c}_x1"""
+        for c in ("generation", "cf", "load")
+    )
+    _CTE[f"{tag}_neighbours"] = f"""
+SELECT *,{neighbours}
+FROM {tag}_aligned WINDOW
+  before AS (PARTITION BY series_id ORDER BY ts
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  after AS (PARTITION BY series_id ORDER BY ts
+    ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"""
+    _CTE[f"{tag}_filled"] = f"""
 SELECT series_id, ts, {_fill("generation")}, capacity, {_fill("load")}, {_fill("cf")}
-FROM g_neighbours"""
+FROM {tag}_neighbours"""
+
+
+_filled("g")
 
 _CTE["g_dataset"] = """
 SELECT f.*, temperature, direct, diffuse, direct + diffuse AS ghi
@@ -192,6 +197,36 @@ SELECT *, lag(cf, 1) OVER s AS cf_lag_1h, lag(cf, 24) OVER s AS cf_lag_24h,
   lag(cf, 168) OVER s AS cf_lag_168h
 FROM g_aligned WINDOW s AS (PARTITION BY series_id ORDER BY ts)"""
 
+# Three plants over six years; their hours all lie in daytime, so nothing is clipped.
+_CTE["y_readings"] = _cf("""(
+SELECT translate(o_orderstatus, 'FOP', 'ANR') AS series_id,
+  o_orderdate + INTERVAL 1 HOUR * (o_custkey % 6 + 8) AS ts,
+  CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / 1000.0::DOUBLE AS generation,
+  CAST(400 + 20 * (year(o_orderdate) - 1995) AS DOUBLE) AS capacity,
+  CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS load
+FROM orders GROUP BY ALL)""")
+
+_CTE["y_weather"] = """
+SELECT l_returnflag AS series_id, l_shipdate + INTERVAL 1 HOUR * (l_orderkey % 6 + 8) AS ts,
+  CAST(sum(CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE) / count(*) * 400.0::DOUBLE - 5.0::DOUBLE
+    AS temperature,
+  CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) * 8.0::DOUBLE AS direct,
+  CAST(sum(CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) * 1500.0::DOUBLE AS diffuse
+FROM lineitem GROUP BY 1, 2"""
+
+_CTE["y_aligned"] = """
+SELECT series_id, ts, generation, capacity, load, cf
+FROM (SELECT * FROM (SELECT DISTINCT series_id FROM y_readings), generate_series(
+  TIMESTAMP '1995-01-01', TIMESTAMP '2000-12-31 23:00:00', INTERVAL 1 HOUR) AS g(ts))
+LEFT JOIN y_readings USING (series_id, ts)"""
+
+_filled("y")
+
+_CTE["y_dataset"] = """
+SELECT f.*, temperature, direct, diffuse, direct + diffuse AS ghi, 51.0::DOUBLE AS latitude_deg,
+  10.5::DOUBLE AS longitude_deg, 35.0::DOUBLE AS tilt_deg, 180.0::DOUBLE AS azimuth_deg
+FROM y_filled f LEFT JOIN y_weather USING (series_id, ts)"""
+
 
 # --- physics -------------------------------------------------------------------------------
 
@@ -256,22 +291,28 @@ _CTE["w_sited"] = "SELECT * FROM f_weather JOIN f_sites USING (series_id)"
 _position("w_sited", "w")
 _panel("w", 180)
 
-_CTE["t_dataset"] = f"""
-SELECT *, lag(cf, 1) OVER s AS cf_lag_1h, lag(cf, 24) OVER s AS cf_lag_24h,
-  lag(cf, 168) OVER s AS cf_lag_168h, {_split("ts", JANUARY)} AS split
-FROM g_dataset JOIN f_sites USING (series_id)
-WINDOW s AS (PARTITION BY series_id ORDER BY ts)"""
-_position("t_dataset", "t")
-_panel("t", 180)
 
-_CTE["t_features"] = f"""
+def _features(tag: str, dataset: str, bounds: tuple[str, str, str, str]) -> None:
+    """Lags, physics, calendar and split label over ``dataset`` as CTE ``{tag}_features``."""
+    _CTE[f"{tag}_lagged"] = f"""
+SELECT *, lag(cf, 1) OVER s AS cf_lag_1h, lag(cf, 24) OVER s AS cf_lag_24h,
+  lag(cf, 168) OVER s AS cf_lag_168h, {_split("ts", bounds)} AS split
+FROM {dataset} WINDOW s AS (PARTITION BY series_id ORDER BY ts)"""
+    _position(f"{tag}_lagged", tag)
+    _panel(tag, 180)
+    _CTE[f"{tag}_features"] = f"""
 SELECT series_id, ts, cf, temperature, direct, diffuse, ghi, split, cf_lag_1h, cf_lag_24h,
   cf_lag_168h, elev AS solar_elevation_deg, 90.0::DOUBLE - elev AS solar_zenith_deg,
   clearness AS clearness_index, poa AS g_poa, cell AS t_cell_c, {_THEORY} AS cf_theory,
   sin(2 * pi() * hour(ts) / 24) AS hour_sin, cos(2 * pi() * hour(ts) / 24) AS hour_cos,
   sin(2 * pi() * dayofyear(ts) / 365.25::DOUBLE) AS doy_sin,
   cos(2 * pi() * dayofyear(ts) / 365.25::DOUBLE) AS doy_cos
-FROM t_cell"""
+FROM {tag}_cell"""
+
+
+_CTE["t_dataset"] = "SELECT * FROM g_dataset JOIN f_sites USING (series_id)"
+_features("t", "t_dataset", JANUARY)
+_features("y", "y_dataset", YEARS)
 
 # --- forecasters ---------------------------------------------------------------------------
 
@@ -293,7 +334,7 @@ _CTE["m_moments"] = """
 SELECT avg(cf) AS my, avg(ghi) AS mg, avg(temperature) AS mt, var_pop(ghi) AS vg,
   var_pop(temperature) AS vt, covar_pop(ghi, temperature) AS gt, covar_pop(ghi, cf) AS gy,
   covar_pop(temperature, cf) AS ty
-FROM t_features
+FROM y_features
 WHERE split = 'train' AND cf IS NOT NULL AND ghi IS NOT NULL AND temperature IS NOT NULL"""
 
 _CTE["m_weather"] = """
@@ -312,7 +353,7 @@ _BASIS = ("ghi", "temperature", "g_poa", "cf_theory", "clearness_index", "solar_
 _CTE["b_rows"] = f"""
 SELECT series_id, ts, split, cf, {", ".join(_BASIS)},
   split = 'train' AND cf IS NOT NULL AND {" AND ".join(f"{c} IS NOT NULL" for c in _BASIS)} AS used
-FROM t_features"""
+FROM y_features"""
 _CTE["b_0"] = "SELECT series_id, ts, split, cf, used, " + ", ".join(
     f"{c} - (SELECT avg({c}) FROM b_rows WHERE used) AS {c}" for c in _BASIS
 ) + ", (SELECT avg(cf) FROM b_rows WHERE used) AS fit FROM b_rows"
@@ -332,20 +373,20 @@ _CTE["m_physics"] = f"SELECT series_id, ts, split, cf, {_bounded('fit')} AS pred
 
 _CTE["m_climate"] = """
 SELECT series_id, month(ts) AS m, day(ts) AS d, hour(ts) AS h, avg(cf) AS mean
-FROM t_features WHERE split = 'train' GROUP BY ALL"""
+FROM y_features WHERE split = 'train' GROUP BY ALL"""
 
 _LINEAR = _bounded("(a * (ghi - mg) + b * (temperature - mt) + my)")
 
 _CTE["m_long"] = f"""
 SELECT 'persistence' AS model, split, cf,
-  CASE WHEN min(ts) OVER (PARTITION BY split) < ts THEN cf_lag_1h END AS pred FROM t_features
+  CASE WHEN min(ts) OVER (PARTITION BY split) < ts THEN cf_lag_1h END AS pred FROM y_features
 UNION ALL SELECT 'daily_seasonal_naive', split, cf,
   CASE WHEN min(ts) OVER (PARTITION BY split) + INTERVAL 24 HOUR <= ts THEN cf_lag_24h END
-  FROM t_features
-UNION ALL SELECT 'hour_of_year_climatology', split, cf, mean FROM t_features LEFT JOIN m_climate c
-  ON c.series_id = t_features.series_id AND m = month(ts) AND d = day(ts) AND h = hour(ts)
-UNION ALL SELECT 'linear_weather', split, cf, {_LINEAR} FROM t_features, m_weather
-UNION ALL SELECT 'pure_physics', split, cf, cf_theory FROM t_features"""
+  FROM y_features
+UNION ALL SELECT 'hour_of_year_climatology', split, cf, mean FROM y_features LEFT JOIN m_climate c
+  ON c.series_id = y_features.series_id AND m = month(ts) AND d = day(ts) AND h = hour(ts)
+UNION ALL SELECT 'linear_weather', split, cf, {_LINEAR} FROM y_features, m_weather
+UNION ALL SELECT 'pure_physics', split, cf, cf_theory FROM y_features"""
 
 _CTE["m_all"] = """
 SELECT * FROM m_long UNION ALL SELECT 'linear_physics', split, cf, pred FROM m_physics"""
@@ -468,8 +509,8 @@ FROM f_weather""",
 SELECT series_id, ts, count(*) AS n FROM f_orders GROUP BY series_id, ts HAVING count(*) > 1""",
     "align_mean": """
 SELECT series_id, ts, avg(capacity) AS capacity FROM
-  (SELECT DISTINCT series_id FROM f_orders), generate_series(TIMESTAMP '1998-01-01',
-   TIMESTAMP '1998-12-31 23:00:00', INTERVAL 1 HOUR) AS g(ts)
+  (SELECT * FROM (SELECT DISTINCT series_id FROM f_orders), generate_series(
+    TIMESTAMP '1998-01-01', TIMESTAMP '1998-12-31 23:00:00', INTERVAL 1 HOUR) AS g(ts))
 LEFT JOIN f_orders USING (series_id, ts) GROUP BY series_id, ts""",
     "feed_join": """
 SELECT series_id, ts, generation, capacity, load, temperature, direct, diffuse
@@ -518,10 +559,10 @@ SELECT series_id, ts, round(elev, 6) AS solar_elevation_deg,
   round(poa, 6) AS g_poa, round(cell, 6) AS t_cell_c, round({_THEORY}, 6) AS cf_theory
 FROM w_cell""",
     "feature_table": f"""
-SELECT series_id, ts, temperature, direct, diffuse, ghi, split, {_round(
-        6, "cf", "cf_lag_1h", "cf_lag_24h", "cf_lag_168h", "solar_elevation_deg",
-        "solar_zenith_deg", "clearness_index", "g_poa", "t_cell_c", "cf_theory", "hour_sin",
-        "hour_cos", "doy_sin", "doy_cos")} FROM t_features""",
+SELECT series_id, ts, temperature, direct, diffuse, ghi, split,
+  {_round(9, "cf", "cf_lag_1h", "cf_lag_24h", "cf_lag_168h")},
+  {_round(6, "solar_elevation_deg", "solar_zenith_deg", "clearness_index", "g_poa", "t_cell_c",
+          "cf_theory", "hour_sin", "hour_cos", "doy_sin", "doy_cos")} FROM t_features""",
     "split_label": f"""
 SELECT o_orderkey, o_orderdate AS ts, {_split("o_orderdate", YEARS)} AS split FROM orders""",
     "split_counts": f"""
@@ -540,9 +581,9 @@ FROM item_hours i LEFT JOIN (SELECT series_id, month(ts) AS m, day(ts) AS d, hou
   avg(cf) AS mean FROM item_hours WHERE {_split("ts", YEARS)} = 'train' GROUP BY ALL) c
 ON c.series_id = i.series_id AND m = month(i.ts) AND d = day(i.ts) AND h = hour(i.ts)""",
     "linear_weather": f"""
-SELECT series_id, ts, split, round({_LINEAR}, 6) AS pred FROM t_features, m_weather""",
+SELECT series_id, ts, split, round({_LINEAR}, 6) AS pred FROM y_features, m_weather""",
     "linear_physics": "SELECT series_id, ts, split, round(pred, 6) AS pred FROM m_physics",
-    "pure_physics": "SELECT series_id, ts, split, round(cf_theory, 6) AS pred FROM t_features",
+    "pure_physics": "SELECT series_id, ts, split, round(cf_theory, 6) AS pred FROM y_features",
     "forecast_metrics": f"SELECT model, split, {_round(6, 'rmse', 'mae')}, n FROM p_scores",
     "skill_scores": """
 SELECT s.model, split, round(s.rmse, 6) AS rmse, round(s.mae, 6) AS mae, s.n,

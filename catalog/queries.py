@@ -22,7 +22,7 @@ from helioframe.models.trees import BoostedTrees
 from helioframe.operators import clean, gaps, grid, lags, physics, quality, scoring, splits
 from helioframe.plans import compare
 from helioframe.plans.dataset import build_dataset, build_features, clean_readings
-from helioframe.schema import LAG_FEATURES, PHYSICS_COLUMNS
+from helioframe.schema import CALENDAR_COLUMNS, LAG_FEATURES, PHYSICS_COLUMNS
 from helioframe.sources.integrity import verify_files
 from helioframe.sources.run_store import results_summary
 
@@ -322,10 +322,22 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _year_features(spark: SparkSession, d: str) -> DataFrame:
+    """Several years of three series at one location, for fitting and comparing forecasters."""
+    return build_features(
+        si.year_readings(spark, d),
+        si.year_weather(spark, d),
+        None,
+        si.YEARS,
+        si.YEARS_SPLIT,
+    )
+
+
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
     built = _features(spark, d).drop("capacity", "load", "generation")
-    exact = {"series_id", "ts", "split", "temperature", "direct", "diffuse", "ghi"}
-    return _rounded(built, 6, *[c for c in built.columns if c not in exact])
+    shares = [c for c in built.columns if c.startswith("cf") and c != "cf_theory"]
+    derived = [*PHYSICS_COLUMNS, *CALENDAR_COLUMNS]
+    return _rounded(_rounded(built, 9, *shares), 6, *derived)
 
 
 # --- splits --------------------------------------------------------------------------------
@@ -374,7 +386,7 @@ def climatology(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fitted(model: Forecaster, spark: SparkSession, d: str) -> DataFrame:
-    table = _features(spark, d)
+    table = _year_features(spark, d)
     model.fit(table.where("split = 'train'"))
     return model.transform(table).select(
         "series_id", "ts", "split", F.round("pred", 6).alias("pred")
@@ -399,7 +411,7 @@ def boosted_trees(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     model = BoostedTrees(feature_cols=LAG_FEATURES, **TREES)
-    model.fit(_features(spark, d).where("split = 'train'"))
+    model.fit(_year_features(spark, d).where("split = 'train'"))
     rows = list(model.feature_importance.items())
     ranked = spark.createDataFrame(rows, "feature string, importance double")
     return ranked.orderBy(F.desc("importance"))
@@ -430,25 +442,25 @@ def aligned_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _compared(models: Sequence[Forecaster], spark: SparkSession, d: str) -> compare.Comparison:
-    return compare.compare_models(_features(spark, d), models)
+    return compare.compare_models(_year_features(spark, d), models)
 
 
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Scores of the six forecasters without trees."""
-    run = _compared(compare.baseline_models(si.JANUARY_SPLIT), spark, d)
+    run = _compared(compare.baseline_models(si.YEARS_SPLIT), spark, d)
     return _rounded(run.scores, 6, "rmse", "mae", "skill")
 
 
 def run_results(spark: SparkSession, d: str) -> DataFrame:
     """Summary of a run of the five forecasters whose fit has a closed form."""
-    models = [m for m in compare.baseline_models(si.JANUARY_SPLIT) if m.name != "linear_physics"]
+    models = [m for m in compare.baseline_models(si.YEARS_SPLIT) if m.name != "linear_physics"]
     summary = results_summary(_compared(models, spark, d).metrics("run"))
     return _rounded(summary, 6, "val_rmse", "val_mae", "skill")
 
 
 def model_comparison_trees(spark: SparkSession, d: str) -> DataFrame:
     """Scores of all nine forecasters."""
-    return _compared(compare.default_models(si.JANUARY_SPLIT, **TREES), spark, d).scores
+    return _compared(compare.default_models(si.YEARS_SPLIT, **TREES), spark, d).scores
 
 
 # --- files ---------------------------------------------------------------------------------

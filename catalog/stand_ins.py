@@ -13,6 +13,7 @@ from helioframe.functions.timeaxis import floor_hour
 from helioframe.schema import Axis, PreprocessConfig, Split
 
 JANUARY = PreprocessConfig(overlap_start="2024-01-01", overlap_end="2024-01-30 23:00:00")
+YEARS = PreprocessConfig(overlap_start="1995-01-01", overlap_end="2000-12-31 23:00:00")
 JANUARY_SPLIT = Split(
     "2024-01-01 00:00:00",
     "2024-01-20 23:00:00",
@@ -90,7 +91,7 @@ def _site_columns(number: Column) -> list[Column]:
     return [
         (F.pmod(number * 37, F.lit(121)) - 60).cast("double").alias("latitude_deg"),
         (F.pmod(number * 53, F.lit(360)) - 180).cast("double").alias("longitude_deg"),
-        F.pmod(number * 7, F.lit(91)).cast("double").alias("tilt_deg"),
+        (F.pmod(number * 7, F.lit(91)) + 0.25).cast("double").alias("tilt_deg"),
         F.pmod(number * 11, F.lit(360)).cast("double").alias("azimuth_deg"),
     ]
 
@@ -179,3 +180,43 @@ def item_series(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .agg((F.sum(_money("l_quantity")).cast("double") / 1000.0).alias("cf"))
     )
+
+
+def year_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as daytime readings of three plants over six years."""
+    date = F.col("o_orderdate")
+    return (
+        table(spark, sf_dir, "orders")
+        .groupBy(
+            F.translate("o_orderstatus", "FOP", "ANR").alias("series_id"),
+            F.timestamp_add("HOUR", F.pmod("o_custkey", F.lit(6)) + 8, date).alias("ts"),
+        )
+        .agg(F.sum(_money("o_totalprice")).cast("double").alias("load"))
+        .select(
+            "series_id",
+            "ts",
+            (F.col("load") / 1000.0).alias("generation"),
+            (400 + 20 * (F.year("ts") - 1995)).cast("double").alias("capacity"),
+            "load",
+        )
+    )
+
+
+def year_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as daytime weather of the same three plants."""
+    return (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(
+            F.col("l_returnflag").alias("series_id"),
+            F.timestamp_add("HOUR", F.pmod("l_orderkey", F.lit(6)) + 8, F.col("l_shipdate")).alias(
+                "ts"
+            ),
+        )
+        .agg(
+            (F.sum(_money("l_tax")).cast("double") / F.count("*") * 400.0 - 5.0).alias(
+                "temperature"
+            ),
+            (F.sum(_money("l_quantity")).cast("double") * 8.0).alias("direct"),
+            (F.sum(_money("l_discount")).cast("double") * 1500.0).alias("diffuse"),
+        )
+    )
