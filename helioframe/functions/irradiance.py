@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,11 +24,16 @@ MIN_BEAM_ELEVATION_DEG = 1.0
 MAX_CLEARNESS = 1.5
 
 
+def clear_sky_from_up(up: Column) -> Column:
+    """Haurwitz clear-sky irradiance from the cosine of the zenith angle; 0 by night."""
+    cos_zenith = at_least(up, MIN_COS_ZENITH)
+    clear = HAURWITZ_SCALE * cos_zenith * F.exp(F.lit(-HAURWITZ_DECAY) / cos_zenith)
+    return F.when(up > 0, clear).when(up <= 0, F.lit(0.0))
+
+
 def clear_sky_ghi(elevation: Column) -> Column:
     """Haurwitz clear-sky irradiance; 0 with the sun at or below the horizon."""
-    cos_zenith = at_least(F.cos(F.radians(at_least(90.0 - elevation, 0.0))), MIN_COS_ZENITH)
-    clear = HAURWITZ_SCALE * cos_zenith * F.exp(F.lit(-HAURWITZ_DECAY) / cos_zenith)
-    return F.when(elevation > 0, clear).when(elevation <= 0, F.lit(0.0))
+    return clear_sky_from_up(F.sin(F.radians(elevation)))
 
 
 def clearness_index(ghi: Column, clear: Column) -> Column:
@@ -47,31 +54,51 @@ def angle_of_incidence(
     return F.degrees(F.acos(cos_incidence(elevation, sun_azimuth, tilt, facing)))
 
 
-def plane_of_array(
+def panel_irradiance(
     direct: Column,
     diffuse: Column,
-    elevation: Column,
-    sun_azimuth: Column,
-    tilt: Column,
-    facing: Column,
+    up: Column,
+    cos_aoi: Column,
+    cos_tilt: Column,
     albedo: float = GROUND_ALBEDO,
     poa_max: float | None = None,
 ) -> Column:
     """Beam, isotropic sky and ground-reflected irradiance on a tilted panel.
 
+    Takes the upward component of the sun vector and the cosines of incidence and tilt.
     Near the horizon the beam term is amplified by up to 1 / sin(1 degree); ``poa_max``
     bounds the sum where that is unwanted.
     """
-    facing_sun = at_least(cos_incidence(elevation, sun_azimuth, tilt, facing), 0.0)
-    lift = F.sin(F.radians(at_least(elevation, MIN_BEAM_ELEVATION_DEG)))
-    beam = F.when(elevation > 0, direct * facing_sun / lift).when(elevation <= 0, F.lit(0.0))
-    cos_tilt = F.cos(F.radians(tilt))
+    lift = at_least(up, math.sin(math.radians(MIN_BEAM_ELEVATION_DEG)))
+    beam = F.when(up > 0, direct * at_least(cos_aoi, 0.0) / lift).when(up <= 0, F.lit(0.0))
     sky = diffuse * (1.0 + cos_tilt) / 2.0
     ground = (direct + diffuse) * albedo * (1.0 - cos_tilt) / 2.0
     total = at_least(beam + sky + ground, 0.0)
     return total if poa_max is None else clip(total, 0.0, poa_max)
 
 
+def plane_of_array(
+    direct: Column,
+    diffuse: Column,
+    elevation: Column,
+    sun_azimuth: Column,
+    tilt: Column,
+    facing: Column,
+    albedo: float = GROUND_ALBEDO,
+    poa_max: float | None = None,
+) -> Column:
+    """``panel_irradiance`` from angles in degrees."""
+    return panel_irradiance(
+        direct,
+        diffuse,
+        F.sin(F.radians(elevation)),
+        cos_incidence(elevation, sun_azimuth, tilt, facing),
+        F.cos(F.radians(tilt)),
+        albedo,
+        poa_max,
+    )
+
+
 def cell_temperature(ambient: Column, poa: Column, noct: float = NOCT_DEG_C) -> Column:
     return ambient + (noct - NOCT_AIR_TEMP) * poa / NOCT_IRRADIANCE
 

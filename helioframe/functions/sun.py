@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from helioframe.functions.exprs import as_column, clip, ratio
+from helioframe.functions.exprs import as_column, clip
 
 AZIMUTH_MODES = ("as_coded", "documented")
 
@@ -39,27 +40,51 @@ def hour_angle(hour: Column, longitude: Column, eot: Column) -> Column:
     return 15.0 * (hour + longitude / 15.0 + eot / 60.0 - 12.0)
 
 
-def elevation(latitude: Column, decl: Column, ha: Column) -> Column:
-    lat, dec = F.radians(latitude), F.radians(decl)
-    dot = F.sin(lat) * F.sin(dec) + F.cos(lat) * F.cos(dec) * F.cos(F.radians(ha))
-    return F.degrees(F.asin(clip(dot, -1.0, 1.0)))
+@dataclass(frozen=True)
+class SunVector:
+    """Direction of the sun as unit vector components east, north and up.
+
+    Elevation, bearing and the angle to any panel are dot products of it, so irradiance
+    needs no inverse trigonometry.
+    """
+
+    east: Column
+    north: Column
+    up: Column
+
+
+def sun_vector(
+    sin_lat: Column, cos_lat: Column, sin_decl: Column, cos_decl: Column, ha: Column
+) -> SunVector:
+    """Components from the sines and cosines of latitude and declination; ``ha`` in degrees."""
+    turn = F.radians(ha)
+    return SunVector(
+        east=-cos_decl * F.sin(turn),
+        north=sin_decl * cos_lat - cos_decl * sin_lat * F.cos(turn),
+        up=sin_lat * sin_decl + cos_lat * cos_decl * F.cos(turn),
+    )
+
+
+def elevation(up: Column) -> Column:
+    """Angle above the horizon."""
+    return F.degrees(F.asin(clip(up, -1.0, 1.0)))
 
 
-def azimuth(
-    latitude: Column, decl: Column, ha: Column, elev: Column, mode: str = "as_coded"
-) -> Column:
+def half_turn(mode: str) -> bool:
+    """Whether ``mode`` carries a half turn on top of the true bearing."""
+    if mode not in AZIMUTH_MODES:
+        raise ValueError(f"azimuth mode must be one of {AZIMUTH_MODES}, got {mode!r}")
+    return mode == "as_coded"
+
+
+def azimuth(east: Column, north: Column, mode: str = "as_coded") -> Column:
     """Compass direction of the sun.
 
     ``documented`` is the north-based bearing (180 = south). ``as_coded`` carries a further
     half turn, which the established feature values of this data contain; it is the
-    default so that results agree with them. NULL where the sun stands in the zenith.
+    default so that results agree with them.
     """
-    if mode not in AZIMUTH_MODES:
-        raise ValueError(f"azimuth mode must be one of {AZIMUTH_MODES}, got {mode!r}")
-    lat, dec, el = F.radians(latitude), F.radians(decl), F.radians(elev)
-    east = ratio(-F.cos(dec) * F.sin(F.radians(ha)), F.cos(el))
-    north = ratio(F.sin(dec) - F.sin(el) * F.sin(lat), F.cos(el) * F.cos(lat))
-    turn = 180.0 if mode == "as_coded" else 0.0
+    turn = 180.0 if half_turn(mode) else 0.0
     return F.pmod(F.degrees(F.atan2(east, north)) + turn, F.lit(360.0))
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from helioframe.models.base import Forecaster, linear_combination, unit_interval
 from helioframe.schema import PHYSICS_FEATURES, TALL, WEATHER_FEATURES, Axis
@@ -33,13 +35,22 @@ class LinearWeather(Forecaster):
         self.intercept: float | None = None
 
     def fit(self, df: DataFrame) -> LinearWeather:
-        complete = df.select(self.target, *self.feature_cols).dropna()
-        rows = VectorAssembler(inputCols=list(self.feature_cols), outputCol="__x").transform(
-            complete
+        # Incomplete rows get weight 0 instead of being filtered out: a filter on derived
+        # features would be pushed below them and compute every feature twice.
+        names = [self.target, *self.feature_cols]
+        known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in names])
+        rows = df.select(
+            known.cast("double").alias("__weight"),
+            *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names],
         )
+        assembler = VectorAssembler(inputCols=list(self.feature_cols), outputCol="__x")
         model = LinearRegression(
-            featuresCol="__x", labelCol=self.target, regParam=0.0, solver="normal"
-        ).fit(rows)
+            featuresCol="__x",
+            labelCol=self.target,
+            weightCol="__weight",
+            regParam=0.0,
+            solver="normal",
+        ).fit(assembler.transform(rows).select("__x", self.target, "__weight"))
         self.coefficients = [float(c) for c in model.coefficients]
         self.intercept = float(model.intercept)
         return self

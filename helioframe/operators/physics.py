@@ -7,13 +7,48 @@ from pyspark.sql import functions as F
 
 from helioframe.functions import irradiance as irr
 from helioframe.functions import sun
-from helioframe.functions.exprs import as_column
+from helioframe.functions.exprs import as_column, clip
 from helioframe.functions.timeaxis import require_utc
 from helioframe.schema import PHYSICS_COLUMNS, TALL, WIDE, Axis, SiteConfig
 
 _SITE = ("latitude_deg", "longitude_deg", "tilt_deg", "azimuth_deg")
 
 
+_HELPERS = ("__lat", "__day", "__hour_angle", "__decl", "__sin_lat", "__cos_lat", "__sin_decl", "__cos_decl")
+
+
+def _with_sun(df: DataFrame, latitude: Column, longitude: Column, axis: Axis) -> DataFrame:
+    """Add the sun vector as ``__east``, ``__north``, ``__up``.
+
+    Each quantity that is used more than once is a column of its own: Spark then computes
+    it once per row, where one nested expression would repeat it.
+    """
+    eot = sun.equation_of_time(F.col("__day"))
+    angles = (
+        df.withColumns({"__lat": F.radians(latitude), "__day": sun.day_angle(axis.ts)})
+        .withColumns(
+            {
+                "__decl": F.radians(sun.declination(F.col("__day"))),
+                "__hour_angle": sun.hour_angle(sun.utc_hour(axis.ts), longitude, eot),
+            }
+        )
+        .withColumns(
+            {
+                "__sin_lat": F.sin("__lat"),
+                "__cos_lat": F.cos("__lat"),
+                "__sin_decl": F.sin("__decl"),
+                "__cos_decl": F.cos("__decl"),
+            }
+        )
+    )
+    vector = sun.sun_vector(
+        *[F.col(c) for c in ("__sin_lat", "__cos_lat", "__sin_decl", "__cos_decl", "__hour_angle")]
+    )
+    return angles.withColumns(
+        {"__east": vector.east, "__north": vector.north, "__up": vector.up}
+    ).drop(*_HELPERS)
+
+
 def solar_position(
     df: DataFrame,
     latitude: Column | str | float,
@@ -26,30 +61,21 @@ def solar_position(
 
     Location may be constant or per row. A timestamp that is not a UTC instant is refused.
     """
-    df = require_utc(df, axis.ts)
     lat, lon = as_column(latitude).cast("double"), as_column(longitude).cast("double")
-    geometry = (
-        df.withColumns({"__lat": lat, "__lon": lon, "__day": sun.day_angle(axis.ts)})
+    elevation = F.col(f"{prefix}elevation_deg")
+    return (
+        _with_sun(require_utc(df, axis.ts), lat, lon, axis)
         .withColumns(
             {
-                "__dec": sun.declination(F.col("__day")),
-                "__ha": sun.hour_angle(
-                    sun.utc_hour(axis.ts), F.col("__lon"), sun.equation_of_time(F.col("__day"))
+                f"{prefix}elevation_deg": sun.elevation(F.col("__up")),
+                f"{prefix}azimuth_deg": sun.azimuth(
+                    F.col("__east"), F.col("__north"), azimuth_mode
                 ),
             }
         )
-        .withColumn("__el", sun.elevation(F.col("__lat"), F.col("__dec"), F.col("__ha")))
-    )
-    bearing = sun.azimuth(
-        F.col("__lat"), F.col("__dec"), F.col("__ha"), F.col("__el"), azimuth_mode
+        .withColumn(f"{prefix}zenith_deg", 90.0 - elevation)
+        .drop("__east", "__north", "__up")
     )
-    return geometry.withColumns(
-        {
-            f"{prefix}elevation_deg": F.col("__el"),
-            f"{prefix}azimuth_deg": bearing,
-            f"{prefix}zenith_deg": 90.0 - F.col("__el"),
-        }
-    ).drop("__lat", "__lon", "__day", "__dec", "__ha", "__el")
 
 
 def _add_physics(
@@ -61,34 +87,39 @@ def _add_physics(
     azimuth_mode: str,
     poa_max: float | None,
 ) -> DataFrame:
-    placed = solar_position(
-        df, site["latitude_deg"], site["longitude_deg"], axis, azimuth_mode, prefix="__sun_"
-    )
-    el, az = F.col("__sun_elevation_deg"), F.col("__sun_azimuth_deg")
+    facing, tilt = F.radians(site["azimuth_deg"]), F.radians(site["tilt_deg"])
+    east, north, up = F.col("__east"), F.col("__north"), F.col("__up")
+    toward = north * F.cos(facing) + east * F.sin(facing)
+    side = -toward if sun.half_turn(azimuth_mode) else toward
+    cos_aoi = up * F.cos(tilt) + side * F.sin(tilt)
     direct, diffuse = F.col(inputs["direct"]), F.col(inputs["diffuse"])
     names = {c: f"{output}{c}" for c in PHYSICS_COLUMNS}
-    poa = irr.plane_of_array(
-        direct, diffuse, el, az, site["tilt_deg"], site["azimuth_deg"], poa_max=poa_max
+    poa, cell = F.col(names["g_poa"]), F.col(names["t_cell_c"])
+    placed = _with_sun(
+        require_utc(df, axis.ts), site["latitude_deg"], site["longitude_deg"], axis
     )
     return (
-        placed.withColumns({"__clear": irr.clear_sky_ghi(el)})
+        placed.withColumns(
+            {
+                "__clear": irr.clear_sky_from_up(up),
+                "__aoi": clip(cos_aoi, -1.0, 1.0),
+                names["solar_elevation_deg"]: sun.elevation(up),
+            }
+        )
         .withColumns(
             {
-                names["solar_elevation_deg"]: el,
-                names["solar_zenith_deg"]: F.col("__sun_zenith_deg"),
+                names["solar_zenith_deg"]: 90.0 - F.col(names["solar_elevation_deg"]),
                 names["clearness_index"]: irr.clearness_index(direct + diffuse, F.col("__clear")),
-                names["g_poa"]: poa,
+                names["g_poa"]: irr.panel_irradiance(
+                    direct, diffuse, up, F.col("__aoi"), F.cos(tilt), poa_max=poa_max
+                ),
             }
         )
         .withColumn(
-            names["t_cell_c"],
-            irr.cell_temperature(F.col(inputs["temperature"]), F.col(names["g_poa"])),
-        )
-        .withColumn(
-            names["cf_theory"],
-            irr.theoretical_capacity_factor(F.col(names["g_poa"]), F.col(names["t_cell_c"])),
+            names["t_cell_c"], irr.cell_temperature(F.col(inputs["temperature"]), poa)
         )
-        .drop("__sun_elevation_deg", "__sun_azimuth_deg", "__sun_zenith_deg", "__clear")
+        .withColumn(names["cf_theory"], irr.theoretical_capacity_factor(poa, cell))
+        .drop("__east", "__north", "__up", "__clear", "__aoi")
     )
 
 
