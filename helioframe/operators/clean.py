@@ -30,7 +30,9 @@ def clip_nighttime_generation(
 ) -> DataFrame:
     """Night output above ``threshold`` becomes 0.0; missing values stay missing.
 
-    ``observation`` receives ``night_clips``, the number of rows changed.
+    ``observation`` receives ``night_clips``, the number of rows changed in the next action.
+    (An action that reads its input twice, such as a sort, counts twice; ``cleaning_audit``
+    does not depend on the action.)
     """
     wrong = night_generation(axis.ts, generation, threshold)
     df = _observed(df, observation, "night_clips", wrong)
