@@ -61,9 +61,27 @@ def require_utc(df: DataFrame, ts: str) -> DataFrame:
     raise ValueError(f"{ts} must be a UTC timestamp, got {kind.simpleString()}")
 
 
+def _epoch_hour(ts: Column) -> Column:
+    # Date and hour parts depend on no session time zone; timestampdiff would cast to one.
+    return F.unix_date(F.to_date(ts)).cast("bigint") * 24 + F.hour(ts)
+
+
 def hours_since(ts: Column | str, origin: str | datetime = EPOCH) -> Column:
-    """Whole hours from ``origin`` to ``ts``."""
-    return F.timestamp_diff("HOUR", instant(origin), as_column(ts))
+    """Whole hours from ``origin`` to ``ts``, rounded down."""
+    moment = parse_instant(origin)
+    whole = moment.replace(minute=0, second=0, microsecond=0)
+    late = int((moment - whole).total_seconds() * 1_000_000)
+    col = as_column(ts)
+    if late:
+        col = F.timestamp_add("MICROSECOND", F.lit(-late), col)
+    return _epoch_hour(col) - (whole - EPOCH) // timedelta(hours=1)
+
+
+def hours_between(start: Column, end: Column) -> Column:
+    """Whole hours from one TIMESTAMP_NTZ to another."""
+    elapsed = end - start
+    days = F.extract(F.lit("DAY"), elapsed).cast("bigint")
+    return days * 24 + F.extract(F.lit("HOUR"), elapsed)
 
 
 def plus_hours(ts: Column | str, hours: Column | int) -> Column:

@@ -31,13 +31,6 @@ def _interpolated(column: str, max_gap_hours: int, order: WindowSpec) -> Column:
     return F.when(x.isNotNull(), x).when(h1 - h0 - 1 <= max_gap_hours, filled)
 
 
-def fill_within_spans(
-    df: DataFrame, columns: Sequence[str], max_gap_hours: int, spans: Spans
-) -> DataFrame:
-    order = spans.window()
-    return df.withColumns({c: _interpolated(c, max_gap_hours, order) for c in columns})
-
-
 def interpolate_short_gaps(
     df: DataFrame,
     columns: Sequence[str],
@@ -52,7 +45,10 @@ def interpolate_short_gaps(
     if max_gap_hours < 1 or not columns:
         return df
     spans = Spans(axis, max(span_hours, max_gap_hours), back=max_gap_hours, ahead=max_gap_hours)
-    filled = fill_within_spans(spans.scatter(df), columns, max_gap_hours, spans)
+    order = spans.window()
+    filled = spans.scatter(df).withColumns(
+        {c: _interpolated(c, max_gap_hours, order) for c in columns}
+    )
     return spans.gather(filled).select(*df.columns)
 
 

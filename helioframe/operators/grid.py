@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
 from helioframe.functions.timeaxis import (
@@ -76,6 +77,32 @@ def _common_series(feeds: Sequence[DataFrame], axis: Axis) -> DataFrame | None:
     return reduce(lambda a, b: a.join(b, list(axis.keys), "inner"), distinct)
 
 
+@dataclass(frozen=True)
+class _Known:
+    """Nearest known values of one column around a present row, as helper columns."""
+
+    column: str
+
+    def helpers(self, max_gap_hours: int, order: WindowSpec) -> dict[str, Column]:
+        x = F.col(self.column)
+        at = F.when(x.isNotNull(), F.col(HOUR))
+        # A value that takes part in filling an hour is at most max_gap_hours away, hence
+        # at most that many present rows away.
+        before, after = order.rowsBetween(-max_gap_hours, 0), order.rowsBetween(1, max_gap_hours)
+        return {
+            f"__x0_{self.column}": F.last(x, ignorenulls=True).over(before),
+            f"__h0_{self.column}": F.last(at, ignorenulls=True).over(before),
+            f"__x1_{self.column}": F.first(x, ignorenulls=True).over(after),
+            f"__h1_{self.column}": F.first(at, ignorenulls=True).over(after),
+        }
+
+    def value_at(self, hour: Column, max_gap_hours: int) -> Column:
+        """The known value of ``hour``, else the interpolated one inside a short gap."""
+        x0, h0, x1, h1 = (F.col(f"__{n}_{self.column}") for n in ("x0", "h0", "x1", "h1"))
+        filled = x0 + (x1 - x0) * (hour - h0) / (h1 - h0)
+        return F.when(h0 == hour, x0).when(h1 - h0 - 1 <= max_gap_hours, filled)
+
+
 def align_within_spans(
     feeds: Sequence[DataFrame],
     start: str | datetime,
@@ -83,13 +110,18 @@ def align_within_spans(
     spans: Spans,
     series: DataFrame | None = None,
     on_duplicate: str = "fail",
+    fill: Sequence[str] = (),
+    max_gap_hours: int = 0,
+    emit_back: int = 0,
 ) -> DataFrame:
-    """Aligned feeds still carrying their span and halo rows (see ``Spans``).
+    """Aligned feeds with their hour and span, short gaps of the ``fill`` columns closed.
 
     Feeds are stacked, sent once to their ``(keys, span)`` and merged there by hour, which
-    is the equi-join of the aligned feeds without shuffling any grid. Absent hours are
-    written out between one present hour and the next inside a span. ``spans.origin`` must
-    be ``start``.
+    is the equi-join of the aligned feeds without shuffling any grid. Neighbours for the
+    fill are found among the present rows; only then are absent hours written out between
+    one present hour and the next. Each span emits its own hours and ``emit_back`` hours
+    before them. ``spans`` needs a halo of ``max_gap_hours`` around what it emits, and
+    ``start`` as its origin.
     """
     if on_duplicate not in ("fail", "mean"):
         raise ValueError(f"on_duplicate must be 'fail' or 'mean', got {on_duplicate!r}")
@@ -135,25 +167,44 @@ def align_within_spans(
         )
     )
     twice = reduce(lambda a, b: a | b, [F.col(c) > 1 for c in seen])
-    stop = F.least((F.col(SPAN) + 1) * spans.hours + spans.ahead, F.lit(hours))
     order = spans.window()
+    first = F.greatest(F.col(SPAN) * spans.hours - emit_back, F.lit(0))
+    stop = F.least((F.col(SPAN) + 1) * spans.hours, F.lit(hours))
+    known = {c: _Known(c) for c in columns if c in set(fill) and max_gap_hours > 0}
+    helpers: dict[str, Column] = {}
+    for k in known.values():
+        helpers |= k.helpers(max_gap_hours, order)
     bounded = merged.select(
         *axis.keys,
         SPAN,
         F.when(twice, F.raise_error(F.lit("duplicate hour in a feed")).cast("bigint"))
         .otherwise(F.col(HOUR))
         .alias(HOUR),
-        *columns,
+        *[c for c in columns if c not in known],
+        *[h.alias(n) for n, h in helpers.items()],
         # The skeleton row opens its span, so the first row tells whether the series is wanted.
         F.first(_LISTED).over(order).alias(_LISTED),
-        F.coalesce(F.lead(HOUR).over(order), stop).alias(_NEXT),
+        F.lead(HOUR).over(order).alias(_NEXT),
     ).where(F.col(_LISTED).isNotNull())
-    present = F.col("__at") == F.col(HOUR)
-    return bounded.withColumn("__at", F.explode(F.sequence(F.col(HOUR), F.col(_NEXT) - 1))).select(
+    ranged = bounded.withColumns(
+        {
+            "__from": F.greatest(F.col(HOUR), first),
+            "__to": F.least(F.coalesce(F.col(_NEXT), stop), stop) - 1,
+        }
+    ).where(F.col("__from") <= F.col("__to"))
+    at = F.col("__at")
+    return ranged.withColumn("__at", F.explode(F.sequence("__from", "__to"))).select(
         *axis.keys,
-        plus_hours(instant(start), F.col("__at")).alias(axis.ts),
-        *[F.when(present, F.col(c)).alias(c) for c in columns],
-        F.col("__at").alias(HOUR),
+        plus_hours(instant(start), at).alias(axis.ts),
+        *[
+            (
+                known[c].value_at(at, max_gap_hours)
+                if c in known
+                else F.when(at == F.col(HOUR), F.col(c))
+            ).alias(c)
+            for c in columns
+        ],
+        at.alias(HOUR),
         SPAN,
     )
 
@@ -174,7 +225,8 @@ def align_feeds(
     of one hour raise, or are averaged with ``on_duplicate="mean"``.
     """
     spans = Spans(axis, span_hours, origin=parse_instant(start))
-    return spans.gather(align_within_spans(feeds, start, end, spans, series, on_duplicate))
+    aligned = align_within_spans(feeds, start, end, spans, series, on_duplicate)
+    return aligned.drop(HOUR, SPAN)
 
 
 def align_to_window(

@@ -21,8 +21,10 @@ def _hours_ago(target: str, hours: int, spans: Spans) -> Column:
     return F.max(target).over(spans.window().rangeBetween(-hours, -hours))
 
 
-def lag_within_spans(df: DataFrame, target: str, lags: Sequence[int], spans: Spans) -> DataFrame:
-    return df.withColumns({lag_name(target, k): _hours_ago(target, k, spans) for k in lags})
+def lag_on_grid(df: DataFrame, target: str, lags: Sequence[int], spans: Spans) -> DataFrame:
+    """Lags over the emitted rows of an alignment, where k rows back is k hours back."""
+    order = spans.window()
+    return df.withColumns({lag_name(target, k): F.lag(target, k).over(order) for k in lags})
 
 
 def add_lag_features(
@@ -44,7 +46,10 @@ def add_lag_features(
         raise ValueError("lags must be positive")
     reach = max(lags)
     spans = Spans(axis, max(span_hours, reach), back=reach)
-    return spans.gather(lag_within_spans(spans.scatter(df), target, lags, spans))
+    lagged = spans.scatter(df).withColumns(
+        {lag_name(target, k): _hours_ago(target, k, spans) for k in lags}
+    )
+    return spans.gather(lagged)
 
 
 def add_lag_features_by_join(

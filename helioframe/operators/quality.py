@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helioframe.functions.exprs import as_column, is_night, pearson, ratio
-from helioframe.functions.timeaxis import instant
+from helioframe.functions.timeaxis import hours_between, instant
 from helioframe.schema import NIGHT_HOURS_IRRADIANCE_PROFILE, TALL, Axis
 
 MONTHS = tuple(range(1, 13))
@@ -39,7 +39,7 @@ def coverage(feeds: Mapping[str, DataFrame], axis: Axis = TALL) -> DataFrame:
 
 def usable_overlap(covered: DataFrame) -> DataFrame:
     """Period shared by all feeds of a ``coverage`` table, in hours and years of 8,760 hours."""
-    hours = F.timestamp_diff("HOUR", F.col("overlap_start"), F.col("overlap_end")) + 1
+    hours = hours_between(F.col("overlap_start"), F.col("overlap_end")) + 1
     return (
         covered.agg(
             F.max("start_ts").alias("overlap_start"), F.min("end_ts").alias("overlap_end")

@@ -13,11 +13,10 @@ from helioframe.operators.clean import (
     clip_nighttime_irradiance,
     normalize_to_capacity_factor,
 )
-from helioframe.operators.gaps import fill_within_spans
 from helioframe.operators.grid import align_within_spans
-from helioframe.operators.lags import lag_within_spans
+from helioframe.operators.lags import lag_on_grid
 from helioframe.operators.physics import add_calendar_features, add_physics
-from helioframe.operators.spans import Spans
+from helioframe.operators.spans import HOUR, SPAN, Spans
 from helioframe.operators.splits import add_split
 from helioframe.schema import DEFAULT_LAGS, TALL, WIDE, Axis, PreprocessConfig, SiteConfig, Split
 
@@ -59,8 +58,10 @@ def build_dataset(
         spans,
         series,
         on_duplicate,
+        fill_columns,
+        gap,
     )
-    return add_ghi(spans.gather(fill_within_spans(aligned, fill_columns, gap, spans)))
+    return add_ghi(aligned.drop(HOUR, SPAN))
 
 
 def build_features(
@@ -91,10 +92,12 @@ def build_features(
         spans,
         None,
         on_duplicate,
+        FILLED,
+        gap,
+        emit_back=max(lags),
     )
-    filled = fill_within_spans(aligned, FILLED, gap, spans)
-    lagged = add_ghi(spans.gather(lag_within_spans(filled, target, lags, spans)))
-    return feature_columns(lagged, sites, split, azimuth_mode)
+    lagged = spans.gather(lag_on_grid(aligned, target, lags, spans))
+    return feature_columns(add_ghi(lagged), sites, split, azimuth_mode)
 
 
 def feature_columns(
@@ -138,15 +141,14 @@ def build_wide_dataset(
         ts, "DE_solar_generation_actual", "DE_solar_capacity", "DE_solar_cf"
     )
     spans = Spans(WIDE, span_hours, gap, gap, parse_instant(cfg.overlap_start))
-    aligned = align_within_spans(
-        [ts, wx], cfg.overlap_start, cfg.overlap_end, spans, None, on_duplicate
-    )
     filled = (
         "DE_solar_generation_actual",
         "DE_solar_cf",
         "DE_load_actual_entsoe_transparency",
     )
-    out = spans.gather(fill_within_spans(aligned, filled, gap, spans))
+    out = align_within_spans(
+        [ts, wx], cfg.overlap_start, cfg.overlap_end, spans, None, on_duplicate, filled, gap
+    ).drop(HOUR, SPAN)
     for country in ("DE", "IT"):
         out = add_ghi(
             out,
