@@ -150,9 +150,12 @@ class BoostedTrees(Forecaster):
         """Share of impurity reduction per feature, its missing flag included; largest first."""
         if self.model is None:
             return None
+        flagged = self._flagged()
         values = list(self.model.featureImportances.toArray())
+        # A shortened ensemble reports features only up to the last one it uses.
+        values += [0.0] * (len(self.feature_cols) + len(flagged) - len(values))
         gain = dict(zip(self.feature_cols, values, strict=False))
-        for c, v in zip(self._flagged(), values[len(self.feature_cols) :], strict=True):
+        for c, v in zip(flagged, values[len(self.feature_cols) :], strict=True):
             gain[c] += v
         return dict(sorted(((k, float(v)) for k, v in gain.items()), key=lambda kv: -kv[1]))
 

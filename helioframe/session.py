@@ -18,6 +18,8 @@ def build_session(app: str = "helioframe", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # Call sites in error messages cost a stack walk per column expression.
+        "spark.sql.dataFrameQueryContext.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.appName(app)
