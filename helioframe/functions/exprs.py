@@ -29,7 +29,8 @@ def at_least(x: Column, low: float) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.when(x < low, F.lit(float(low))).when(x > high, F.lit(float(high))).otherwise(x)
+    bounded = F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high)))
+    return F.when(x.isNotNull(), bounded)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

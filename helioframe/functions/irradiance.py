@@ -26,7 +26,7 @@ MAX_CLEARNESS = 1.5
 
 def clear_sky_from_up(up: Column) -> Column:
     """Haurwitz clear-sky irradiance from the cosine of the zenith angle; 0 by night."""
-    cos_zenith = at_least(up, MIN_COS_ZENITH)
+    cos_zenith = F.greatest(up, F.lit(MIN_COS_ZENITH))
     clear = HAURWITZ_SCALE * cos_zenith * F.exp(F.lit(-HAURWITZ_DECAY) / cos_zenith)
     return F.when(up > 0, clear).when(up <= 0, F.lit(0.0))
 
@@ -69,7 +69,7 @@ def panel_irradiance(
     Near the horizon the beam term is amplified by up to 1 / sin(1 degree); ``poa_max``
     bounds the sum where that is unwanted.
     """
-    lift = at_least(up, math.sin(math.radians(MIN_BEAM_ELEVATION_DEG)))
+    lift = F.greatest(up, F.lit(math.sin(math.radians(MIN_BEAM_ELEVATION_DEG))))
     beam = F.when(up > 0, direct * at_least(cos_aoi, 0.0) / lift).when(up <= 0, F.lit(0.0))
     sky = diffuse * (1.0 + cos_tilt) / 2.0
     ground = (direct + diffuse) * albedo * (1.0 - cos_tilt) / 2.0

@@ -38,6 +38,9 @@ class Forecaster(ABC):
         """``(keys, ts, pred)`` for every row of ``df``."""
         return self.transform(df).select(*self.axis.columns, "pred")
 
+    def release(self) -> None:
+        """Free what ``fit`` keeps cached."""
+
     def params(self) -> dict[str, Any]:
         return {"model_class": type(self).__name__}
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,16 +75,24 @@ class HourOfYearClimatology(Forecaster):
         return {"__month": F.month(ts), "__day": F.dayofmonth(ts), "__hour": F.hour(ts)}
 
     def fit(self, df: DataFrame) -> HourOfYearClimatology:
+        self.release()
         key = self._key()
         self.table = (
             df.groupBy(*self.axis.keys, *[c.alias(n) for n, c in key.items()])
             .agg(F.avg(self.target).alias("__mean"))
+            .persist(StorageLevel.MEMORY_AND_DISK)
         )
+        # Counting fills the cache, after which Spark knows the table's true size.
+        self.table.count()
         return self
 
+    def release(self) -> None:
+        if self.table is not None:
+            self.table.unpersist()
+
     def transform(self, df: DataFrame, output: str = "pred") -> DataFrame:
-        # At most 8,784 rows per series: Spark broadcasts the table while it is small and
-        # shuffles it when there are many series.
+        # At most 8,784 rows per series. Spark broadcasts the table if its known size is
+        # below spark.sql.autoBroadcastJoinThreshold and shuffles both sides otherwise.
         table = self._require(self.table)
         key = self._key()
         on = [*self.axis.keys, *key]

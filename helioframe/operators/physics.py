@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helioframe.functions import irradiance as irr
 from helioframe.functions import sun
-from helioframe.functions.exprs import as_column, clip
+from helioframe.functions.exprs import as_column
 from helioframe.functions.timeaxis import require_utc
 from helioframe.schema import PHYSICS_COLUMNS, TALL, WIDE, Axis, SiteConfig
 
@@ -102,7 +102,7 @@ def _add_physics(
         placed.withColumns(
             {
                 "__clear": irr.clear_sky_from_up(up),
-                "__aoi": clip(cos_aoi, -1.0, 1.0),
+                "__aoi": cos_aoi,
                 names["solar_elevation_deg"]: sun.elevation(up),
             }
         )

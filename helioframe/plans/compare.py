@@ -60,7 +60,7 @@ def default_models(
 
 @dataclass
 class Comparison:
-    """Outcome of a run. The frames are lazy; ``release`` frees the cached feature table."""
+    """Outcome of a run. The frames are lazy; ``release`` frees what they read from cache."""
 
     models: list[Forecaster]
     predictions: DataFrame
@@ -79,6 +79,8 @@ class Comparison:
 
     def release(self) -> None:
         self.cached.unpersist()
+        for model in self.models:
+            model.release()
 
 
 def predict_all(

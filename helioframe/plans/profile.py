@@ -1,45 +1,164 @@
-"""The whole quality profile of a pair of raw feeds, as named tables."""
+"""The whole quality profile of a pair of raw feeds, as named tables.
+
+Each feed is read once: its facts are aggregated per year and month, and the profile tables
+are rolled up from those few rows. The tables equal those of ``operators.quality``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from helioframe.functions.exprs import is_night, pearson, ratio
 from helioframe.operators import quality as q
-from helioframe.schema import TALL, Axis
+from helioframe.schema import NIGHT_HOURS_IRRADIANCE_PROFILE, TALL, Axis
 from helioframe.sources.files import join_path
 
 
+def monthly_facts(
+    df: DataFrame, axis: Axis = TALL, extra: Sequence[Column] = ()
+) -> DataFrame:
+    """Rows, time range and present values per column for each year and month of a feed."""
+    names = [c for c in df.columns if c not in axis.columns]
+    return df.groupBy(F.year(axis.ts).alias("year"), F.month(axis.ts).alias("month")).agg(
+        F.count("*").alias("n_rows"),
+        F.min(axis.ts).alias("start_ts"),
+        F.max(axis.ts).alias("end_ts"),
+        *[F.count(c).alias(f"n_{c}") for c in names],
+        *extra,
+    )
+
+
+def reading_facts(df: DataFrame, axis: Axis = TALL, night_threshold: float = 1.0) -> DataFrame:
+    g = F.col("generation")
+    return monthly_facts(
+        df,
+        axis,
+        [
+            F.count_if(g < 0).alias("negative"),
+            F.count_if(is_night(axis.ts) & (g > night_threshold)).alias("at_night"),
+            F.min("capacity").alias("min_capacity"),
+            F.max("capacity").alias("max_capacity"),
+        ],
+    )
+
+
+def weather_facts(df: DataFrame, axis: Axis = TALL, night_threshold: float = 1.0) -> DataFrame:
+    t = F.col("temperature")
+    total = F.coalesce("direct", F.lit(0.0)) + F.coalesce("diffuse", F.lit(0.0))
+    dark = is_night(axis.ts, NIGHT_HOURS_IRRADIANCE_PROFILE)
+    return monthly_facts(
+        df,
+        axis,
+        [
+            F.count_if((t < -30.0) | (t > 45.0)).alias("odd_temperature"),
+            F.count_if(dark & (total > night_threshold)).alias("at_night"),
+        ],
+    )
+
+
+def _coverage(facts: DataFrame, source: str) -> DataFrame:
+    return facts.agg(
+        F.min("start_ts").alias("start_ts"),
+        F.max("end_ts").alias("end_ts"),
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
+    ).select(F.lit(source).alias("source"), "start_ts", "end_ts", "n_rows")
+
+
+def _completeness(facts: DataFrame, source: str, names: Sequence[str]) -> DataFrame:
+    return (
+        facts.agg(*[(100.0 * F.sum(f"n_{c}") / F.sum("n_rows")).alias(c) for c in names])
+        .unpivot([], list(names), "column", "pct")
+        .select(F.lit(source).alias("source"), "column", F.bround("pct", 2).alias("present_pct"))
+    )
+
+
+def _anomalies(readings: DataFrame, weather: DataFrame) -> DataFrame:
+    left = readings.agg(
+        F.sum("negative").alias("negative_generation"),
+        ratio(100.0 * F.sum("negative"), F.sum("n_rows")).alias("negative_generation_pct"),
+        F.sum("at_night").alias("night_generation"),
+        F.lit(1).alias("__one"),
+    )
+    right = weather.agg(
+        F.sum("odd_temperature").alias("temperature_out_of_range"),
+        F.sum("at_night").alias("night_irradiance"),
+        F.lit(1).alias("__one"),
+    )
+    return left.join(right, "__one").drop("__one")
+
+
+def _correlations(paired: DataFrame, axis: Axis) -> DataFrame:
+    """Overall (month NULL) and monthly correlation from one pass over the joined feeds."""
+    month = F.month(axis.ts).alias("month")
+    return paired.select(month, "generation", "ghi").rollup("month").agg(
+        pearson("generation", "ghi").alias("corr"), F.count("*").alias("n")
+    )
+
+
 def quality_profile(
     readings: DataFrame, weather: DataFrame, year: int = 2018, axis: Axis = TALL
-) -> dict[str, DataFrame]:
-    """Profile tables by name. The feeds are taken raw, before any cleaning."""
-    feeds = {"time_series": readings, "weather": weather}
-    covered = q.coverage(feeds, axis)
+) -> tuple[dict[str, DataFrame], list[DataFrame]]:
+    """Profile tables by name, and the small cached frames they are derived from.
+
+    The feeds are taken raw, before any cleaning.
+    """
+    r = reading_facts(readings, axis).persist(StorageLevel.MEMORY_AND_DISK)
+    w = weather_facts(weather, axis).persist(StorageLevel.MEMORY_AND_DISK)
     paired = q.paired_feeds(readings, weather, axis=axis)
-    yearly_capacity = q.capacity_by_year(readings, axis=axis)
-    return {
+    c = _correlations(paired, axis).persist(StorageLevel.MEMORY_AND_DISK)
+    measures = {
+        source: [n for n in df.columns if n not in axis.columns]
+        for source, df in (("time_series", readings), ("weather", weather))
+    }
+    covered = _coverage(r, "time_series").unionByName(_coverage(w, "weather"))
+    complete = _completeness(r, "time_series", measures["time_series"]).unionByName(
+        _completeness(w, "weather", measures["weather"])
+    )
+    capacity = (
+        r.groupBy("year")
+        .agg(
+            F.bround(F.min("min_capacity"), 0).alias("min_capacity"),
+            F.bround(F.max("max_capacity"), 0).alias("max_capacity"),
+        )
+        .where("min_capacity IS NOT NULL")
+        .orderBy("year")
+    )
+    absent = 1.0 - F.first("n_generation") / F.first("n_rows")
+    heat = r.groupBy("year").pivot("month", list(q.MONTHS)).agg(absent)
+    tables = {
         "coverage": covered,
         "usable_overlap": q.usable_overlap(covered),
-        "column_completeness": q.column_completeness(feeds, axis),
-        "completeness_by_year": q.completeness_by_year(readings, axis=axis),
-        "anomaly_counts": q.anomaly_counts(readings, weather, axis),
-        "correlation": q.overall_correlation(paired),
-        "correlation_by_month": q.correlation_by_month(paired, axis=axis),
-        "capacity_by_year": yearly_capacity,
+        "column_completeness": complete.orderBy("present_pct", "source", "column"),
+        "completeness_by_year": r.groupBy("year")
+        .agg(
+            F.bround(100.0 * F.sum("n_generation") / F.sum("n_rows"), 2).alias("present_pct")
+        )
+        .orderBy("year"),
+        "anomaly_counts": _anomalies(r, w),
+        "correlation": c.where("month IS NULL").select("corr", "n"),
+        "correlation_by_month": c.where("month IS NOT NULL")
+        .select("month", F.bround("corr", 3).alias("corr"))
+        .orderBy("month"),
+        "capacity_by_year": capacity,
+        "capacity_growth": q.capacity_growth(capacity),
+        "missing_heatmap": heat.select(
+            "year", *[F.col(str(m)).alias(f"m{m:02d}") for m in q.MONTHS]
+        ).orderBy("year"),
         "capacity_timeline": q.capacity_timeline(readings, axis=axis),
-        "capacity_growth": q.capacity_growth(yearly_capacity),
-        "missing_heatmap": q.missing_heatmap(readings, axis=axis),
         "one_year": q.one_year(readings, weather, year, axis=axis),
     }
+    return tables, [r, w, c]
 
 
 def write_profile(
     readings: DataFrame, weather: DataFrame, folder: str, year: int = 2018, axis: Axis = TALL
 ) -> list[str]:
     """Write each profile table as parquet under ``folder``; returns the table names."""
-    cached = [df.persist(StorageLevel.MEMORY_AND_DISK) for df in (readings, weather)]
-    tables = quality_profile(*cached, year, axis)
+    tables, cached = quality_profile(readings, weather, year, axis)
     for name, table in tables.items():
         table.write.mode("overwrite").parquet(join_path(folder, name))
     for df in cached:

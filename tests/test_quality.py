@@ -101,8 +101,29 @@ def test_one_year(readings, weather):
     ]
 
 
-def test_profile_is_written(readings, weather, spark, tmp_path):
+def test_profile_tables_equal_the_single_operators(readings, weather, spark, tmp_path):
     names = write_profile(readings, weather, str(tmp_path))
-    assert "missing_heatmap" in names and "capacity_growth" in names
-    for name in names:
-        assert spark.read.parquet(f"{tmp_path}/{name}").columns
+    feeds = {"time_series": readings, "weather": weather}
+    paired = q.paired_feeds(readings, weather)
+    single = {
+        "coverage": q.coverage(feeds),
+        "usable_overlap": q.usable_overlap(q.coverage(feeds)),
+        "column_completeness": q.column_completeness(feeds),
+        "completeness_by_year": q.completeness_by_year(readings),
+        "anomaly_counts": q.anomaly_counts(readings, weather),
+        "correlation": q.overall_correlation(paired),
+        "correlation_by_month": q.correlation_by_month(paired),
+        "capacity_by_year": q.capacity_by_year(readings),
+        "capacity_growth": q.capacity_growth(q.capacity_by_year(readings)),
+        "missing_heatmap": q.missing_heatmap(readings),
+        "capacity_timeline": q.capacity_timeline(readings),
+        "one_year": q.one_year(readings, weather),
+    }
+    assert sorted(names) == sorted(single)
+    for name, want in single.items():
+        got = spark.read.parquet(f"{tmp_path}/{name}")
+        assert got.columns == want.columns, name
+        key = lambda r: tuple(str(v) for v in r)
+        for a, b in zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True):
+            for x, y in zip(a, b, strict=True):
+                assert x == (pytest.approx(y) if isinstance(y, float) else y), name
