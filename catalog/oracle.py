@@ -413,7 +413,8 @@ FROM gap_flags WHERE generation IS NULL GROUP BY series_id, run"""
 
 
 def _round(digits: int, *names: str) -> str:
-    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
+    # Adding zero turns a rounded -0.0 into 0.0.
+    return ", ".join(f"round({n}, {digits}) + 0.0::DOUBLE AS {n}" for n in names)
 
 
 def _completeness(feeds: dict[str, tuple[str, tuple[str, ...]]]) -> str:
@@ -533,7 +534,7 @@ SELECT series_id, ts, {_round(9, "generation", "cf", "load")}, capacity, tempera
     "lag_join": _LAGGED,
     "calendar_features": """
 SELECT l_orderkey, l_linenumber, ts, round(sin(2 * pi() * hour(ts) / 24), 9) AS hour_sin,
-  round(cos(2 * pi() * hour(ts) / 24), 9) AS hour_cos,
+  round(cos(2 * pi() * hour(ts) / 24), 9) + 0.0::DOUBLE AS hour_cos,
   round(sin(2 * pi() * dayofyear(ts) / 365.25::DOUBLE), 9) AS doy_sin,
   round(cos(2 * pi() * dayofyear(ts) / 365.25::DOUBLE), 9) AS doy_cos,
   CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
