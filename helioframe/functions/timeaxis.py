@@ -12,6 +12,9 @@ from helioframe.functions.exprs import as_column
 
 EPOCH = datetime(1970, 1, 1)
 
+# How an ISO text ends if it has a time and names its zone.
+_ZONE = r"\d:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}(:?\d{2})?)$"
+
 # Text length of a bound and the period a bound of that length stands for.
 _RESOLUTION = {
     10: timedelta(days=1),
@@ -45,19 +48,27 @@ def between(ts: Column | str, start: str | datetime, end: str | datetime) -> Col
     return (col >= instant(start)) & (col <= instant(end))
 
 
-def utc_from_text(text: Column | str) -> Column:
-    """ISO text with a zone -> UTC wall-clock time, whatever the session time zone is."""
-    moment = as_column(text).cast("timestamp")
+def utc_from_instant(moment: Column) -> Column:
+    """TIMESTAMP -> UTC wall-clock time, whatever the session time zone is."""
     return F.timestamp_add("MICROSECOND", F.unix_micros(moment), instant(EPOCH))
 
 
+def utc_from_text(text: Column | str) -> Column:
+    """ISO text with a zone -> UTC wall-clock time; text without a zone raises."""
+    col = as_column(text)
+    zoned = F.when(col.rlike(_ZONE), col).when(
+        col.isNotNull(), F.raise_error(F.concat(F.lit("timestamp without a zone: "), col))
+    )
+    return utc_from_instant(zoned.cast("timestamp"))
+
+
 def require_utc(df: DataFrame, ts: str) -> DataFrame:
     """``ts`` as TIMESTAMP_NTZ; a column that is no point in time is refused."""
     kind = df.schema[ts].dataType
     if isinstance(kind, T.TimestampNTZType):
         return df
     if isinstance(kind, T.TimestampType):
-        return df.withColumn(ts, utc_from_text(F.col(ts)))
+        return df.withColumn(ts, utc_from_instant(F.col(ts)))
     raise ValueError(f"{ts} must be a UTC timestamp, got {kind.simpleString()}")
 
 

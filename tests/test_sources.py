@@ -76,6 +76,36 @@ def test_scan_does_not_depend_on_the_session_zone(spark, raw_dir):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_zone_is_honoured_and_required(spark):
+    from helioframe.functions.timeaxis import utc_from_text
+
+    df = spark.createDataFrame([("2018-06-20T02:00:00+02:00",), (None,)], "t string")
+    assert [r[0] for r in df.select(utc_from_text("t")).collect()] == [START, None]
+    for text in ("2018-06-20 02:00:00", "2018-06-20"):
+        with pytest.raises(Exception, match="without a zone"):
+            spark.createDataFrame([(text,)], "t string").select(utc_from_text("t")).collect()
+
+
+def test_plan_of_the_feature_build(spark, raw_dir, tmp_path):
+    """One exchange of each feed, bounds pushed to the scan, nothing in a single partition."""
+    ts, wx = raw_feeds.load_raw(spark, raw_dir)
+    raw_feeds.tall_readings(ts).write.parquet(str(tmp_path / "readings"))
+    raw_feeds.tall_weather(wx).write.parquet(str(tmp_path / "weather"))
+    listed = spark.createDataFrame([("DE",), ("IT",)], "series_id string")
+    built = build_dataset(
+        spark.read.parquet(str(tmp_path / "readings")),
+        spark.read.parquet(str(tmp_path / "weather")),
+        CONFIG,
+        series=listed,
+    )
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("GreaterThanOrEqual(ts,") == 2
+    assert plan.count("REPARTITION_BY_COL") == 1
+    # The other exchange finds the distinct series of the small list.
+    assert plan.count("Exchange ") == 2
+    assert "Join" not in plan and "Cartesian" not in plan and "SinglePartition" not in plan
+
+
 def test_missing_file_and_renamed_column(spark, raw_dir):
     with pytest.raises(FileNotFoundError):
         raw_feeds.load_raw(spark, raw_dir + "/none")
