@@ -4,33 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helioframe.functions.timeaxis import hours_since, plus_hours
-from helioframe.operators.spans import HOUR, Spans
+from helioframe.operators.neighbours import Neighbours
+from helioframe.operators.spans import HOUR, SPAN, Spans
 from helioframe.schema import TALL, Axis
 
 
-def _interpolated(column: str, max_gap_hours: int, order: WindowSpec) -> Column:
-    """Linear in time between the two neighbours if at most ``max_gap_hours`` lie between.
-
-    A fillable hour has both neighbours within ``max_gap_hours`` rows, so the frames are
-    bounded and the leading, trailing and long runs fall out as NULL.
-    """
-    before = order.rowsBetween(-max_gap_hours, -1)
-    after = order.rowsBetween(1, max_gap_hours)
-    x = F.col(column)
-    at = F.when(x.isNotNull(), F.col(HOUR))
-    x0 = F.last(x, ignorenulls=True).over(before)
-    h0 = F.last(at, ignorenulls=True).over(before)
-    x1 = F.first(x, ignorenulls=True).over(after)
-    h1 = F.first(at, ignorenulls=True).over(after)
-    filled = x0 + (x1 - x0) * (F.col(HOUR) - h0) / (h1 - h0)
-    return F.when(x.isNotNull(), x).when(h1 - h0 - 1 <= max_gap_hours, filled)
-
-
 def interpolate_short_gaps(
     df: DataFrame,
     columns: Sequence[str],
@@ -40,15 +22,14 @@ def interpolate_short_gaps(
 ) -> DataFrame:
     """Fill runs of at most ``max_gap_hours`` missing hours; longer and edge runs stay NULL.
 
-    Each column is filled on its own. One shuffle by ``(keys, span)``.
+    Each column is filled on its own. One shuffle by ``(keys, span)``: a fillable hour has
+    both neighbours within ``max_gap_hours``, which is the halo of a span.
     """
     if max_gap_hours < 1 or not columns:
         return df
     spans = Spans(axis, max(span_hours, max_gap_hours), back=max_gap_hours, ahead=max_gap_hours)
-    order = spans.window()
-    filled = spans.scatter(df).withColumns(
-        {c: _interpolated(c, max_gap_hours, order) for c in columns}
-    )
+    known = Neighbours(columns, [*axis.keys, SPAN])
+    filled = known.fill(spans.scatter(df), max_gap_hours)
     return spans.gather(filled).select(*df.columns)
 
 
@@ -64,11 +45,8 @@ def interpolate_short_gaps_whole_series(
     """
     if max_gap_hours < 1 or not columns:
         return df
-    order = Window.partitionBy(*axis.keys).orderBy(HOUR)
     indexed = df.withColumn(HOUR, hours_since(axis.ts))
-    return indexed.withColumns(
-        {c: _interpolated(c, max_gap_hours, order) for c in columns}
-    ).select(*df.columns)
+    return Neighbours(columns, axis.keys).fill(indexed, max_gap_hours).select(*df.columns)
 
 
 def gap_runs(
@@ -93,15 +71,15 @@ def gap_runs(
     )
     pieces = (
         spans.scatter(df)
-        .select(*keys, "__span", HOUR, missing.alias("__missing"), run.alias("__run"))
+        .select(*keys, SPAN, HOUR, missing.alias("__missing"), run.alias("__run"))
         .where("__missing")
-        .groupBy(*keys, "__span", "__run")
+        .groupBy(*keys, SPAN, "__run")
         .agg(F.min(HOUR).alias("__from"), F.max(HOUR).alias("__to"))
     )
     # Pieces that touch are one run. At most two pieces per span can touch a border, so the
     # ordered pass below sees border pieces only; inner pieces are complete already.
-    low = F.col("__from") == F.col("__span") * span_hours
-    high = F.col("__to") == (F.col("__span") + 1) * span_hours - 1
+    low = F.col("__from") == F.col(SPAN) * span_hours
+    high = F.col("__to") == (F.col(SPAN) + 1) * span_hours - 1
     inner = pieces.where(~(low | high)).select(*keys, "__from", "__to")
     border = pieces.where(low | high)
     series = Window.partitionBy(*keys).orderBy("__from") if keys else Window.orderBy("__from")

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helioframe.functions.timeaxis import (
@@ -18,6 +17,7 @@ from helioframe.functions.timeaxis import (
     parse_instant,
     plus_hours,
 )
+from helioframe.operators.neighbours import Neighbours
 from helioframe.operators.spans import HOUR, SPAN, Spans
 from helioframe.schema import TALL, Axis
 
@@ -77,32 +77,6 @@ def _common_series(feeds: Sequence[DataFrame], axis: Axis) -> DataFrame | None:
     return reduce(lambda a, b: a.join(b, list(axis.keys), "inner"), distinct)
 
 
-@dataclass(frozen=True)
-class _Known:
-    """Nearest known values of one column around a present row, as helper columns."""
-
-    column: str
-
-    def helpers(self, max_gap_hours: int, order: WindowSpec) -> dict[str, Column]:
-        x = F.col(self.column)
-        at = F.when(x.isNotNull(), F.col(HOUR))
-        # A value that takes part in filling an hour is at most max_gap_hours away, hence
-        # at most that many present rows away.
-        before, after = order.rowsBetween(-max_gap_hours, 0), order.rowsBetween(1, max_gap_hours)
-        return {
-            f"__x0_{self.column}": F.last(x, ignorenulls=True).over(before),
-            f"__h0_{self.column}": F.last(at, ignorenulls=True).over(before),
-            f"__x1_{self.column}": F.first(x, ignorenulls=True).over(after),
-            f"__h1_{self.column}": F.first(at, ignorenulls=True).over(after),
-        }
-
-    def value_at(self, hour: Column, max_gap_hours: int) -> Column:
-        """The known value of ``hour``, else the interpolated one inside a short gap."""
-        x0, h0, x1, h1 = (F.col(f"__{n}_{self.column}") for n in ("x0", "h0", "x1", "h1"))
-        filled = x0 + (x1 - x0) * (hour - h0) / (h1 - h0)
-        return F.when(h0 == hour, x0).when(h1 - h0 - 1 <= max_gap_hours, filled)
-
-
 def align_within_spans(
     feeds: Sequence[DataFrame],
     start: str | datetime,
@@ -170,18 +144,16 @@ def align_within_spans(
     order = spans.window()
     first = F.greatest(F.col(SPAN) * spans.hours - emit_back, F.lit(0))
     stop = F.least((F.col(SPAN) + 1) * spans.hours, F.lit(hours))
-    known = {c: _Known(c) for c in columns if c in set(fill) and max_gap_hours > 0}
-    helpers: dict[str, Column] = {}
-    for k in known.values():
-        helpers |= k.helpers(max_gap_hours, order)
+    filled = [c for c in columns if c in fill and max_gap_hours > 0]
+    known = Neighbours(filled, [*axis.keys, SPAN])
     bounded = merged.select(
         *axis.keys,
         SPAN,
         F.when(twice, F.raise_error(F.lit("duplicate hour in a feed")).cast("bigint"))
         .otherwise(F.col(HOUR))
         .alias(HOUR),
-        *[c for c in columns if c not in known],
-        *[h.alias(n) for n, h in helpers.items()],
+        *[c for c in columns if c not in filled],
+        *[h.alias(n) for n, h in known.helpers().items()],
         # The skeleton row opens its span, so the first row tells whether the series is wanted.
         F.first(_LISTED).over(order).alias(_LISTED),
         F.lead(HOUR).over(order).alias(_NEXT),
@@ -198,8 +170,8 @@ def align_within_spans(
         plus_hours(instant(start), at).alias(axis.ts),
         *[
             (
-                known[c].value_at(at, max_gap_hours)
-                if c in known
+                known.value_at(c, at, max_gap_hours)
+                if c in filled
                 else F.when(at == F.col(HOUR), F.col(c))
             ).alias(c)
             for c in columns

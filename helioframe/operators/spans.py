@@ -39,15 +39,17 @@ class Spans:
         col = F.col(hour) if isinstance(hour, str) else hour
         return F.floor(col / F.lit(self.hours)).cast("bigint")
 
-    def members(self, hour: Column | str = HOUR) -> Column:
+    def members(self) -> Column:
         """All spans that need to see an hour: its own and, near a border, a neighbour."""
-        col = F.col(hour) if isinstance(hour, str) else hour
-        spans = [self.own(col)]
-        if self.ahead:
-            spans.insert(0, self.own(col - self.ahead))
-        if self.back:
-            spans.append(self.own(col + self.back))
-        return F.array_distinct(F.array(*spans))
+        own = self.own()
+        inside = F.pmod(F.col(HOUR), F.lit(self.hours))
+        low, high = inside < self.ahead, inside >= self.hours - self.back
+        return (
+            F.when(low & high, F.array(own - 1, own, own + 1))
+            .when(low, F.array(own - 1, own))
+            .when(high, F.array(own, own + 1))
+            .otherwise(F.array(own))
+        )
 
     def scatter(self, df: DataFrame) -> DataFrame:
         """Add the hour index and one copy of each row per span that needs it."""
