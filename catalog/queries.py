@@ -168,17 +168,20 @@ def _aligned_clean(spark: SparkSession, d: str) -> DataFrame:
     return grid.align_to_window(feed, START, END, span_hours=SPAN)
 
 
-def _filled(fill: Callable[..., DataFrame], spark: SparkSession, d: str, **kw: int) -> DataFrame:
-    done = fill(_aligned_clean(spark, d), ["generation", "cf", "load"], 3, **kw)
+def _filled(spark: SparkSession, d: str, span_hours: int) -> DataFrame:
+    done = gaps.interpolate_short_gaps(
+        _aligned_clean(spark, d), ["generation", "cf", "load"], 3, span_hours=span_hours
+    )
     return _rounded(done, 9, "generation", "cf", "load")
 
 
 def gap_fill(spark: SparkSession, d: str) -> DataFrame:
-    return _filled(gaps.interpolate_short_gaps_whole_series, spark, d)
+    return _filled(spark, d, span_hours=SPAN)
 
 
 def gap_fill_halo(spark: SparkSession, d: str) -> DataFrame:
-    return _filled(gaps.interpolate_short_gaps, spark, d, span_hours=48)
+    """The same fill with spans of two days, so that many gaps lie across a border."""
+    return _filled(spark, d, span_hours=48)
 
 
 def gap_runs(spark: SparkSession, d: str) -> DataFrame:

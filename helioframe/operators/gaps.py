@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helioframe.functions.timeaxis import hours_since, plus_hours
+from helioframe.functions.timeaxis import EPOCH, instant, plus_hours
 from helioframe.operators.neighbours import Neighbours
 from helioframe.operators.spans import HOUR, SPAN, Spans
 from helioframe.schema import TALL, Axis
@@ -33,22 +33,6 @@ def interpolate_short_gaps(
     return spans.gather(filled).select(*df.columns)
 
 
-def interpolate_short_gaps_whole_series(
-    df: DataFrame,
-    columns: Sequence[str],
-    max_gap_hours: int = 3,
-    axis: Axis = TALL,
-) -> DataFrame:
-    """The same fill with one window per series and no halo copies.
-
-    Cheaper when all series are short (months of hours); a long series is one task.
-    """
-    if max_gap_hours < 1 or not columns:
-        return df
-    indexed = df.withColumn(HOUR, hours_since(axis.ts))
-    return Neighbours(columns, axis.keys).fill(indexed, max_gap_hours).select(*df.columns)
-
-
 def gap_runs(
     df: DataFrame,
     column: str,
@@ -95,7 +79,7 @@ def gap_runs(
     runs = runs.join(F.broadcast(edges), keys, "inner") if not keys else runs.join(edges, keys)
     length = F.col("__to") - F.col("__from") + 1
     inside = (F.col("__from") > F.col("__first")) & (F.col("__to") < F.col("__last"))
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    epoch = instant(EPOCH)
     return runs.select(
         *keys,
         plus_hours(epoch, F.col("__from")).alias("gap_start"),
