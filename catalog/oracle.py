@@ -41,7 +41,7 @@ def _split(ts: str, bounds: tuple[str, str, str, str]) -> str:
 
 
 JANUARY = ("2024-01-01", "2024-01-21", "2024-01-26", "2024-01-31")
-YEARS = ("1995-01-01", "1999-01-01", "2000-01-01", "2001-01-01")
+YEARS = ("1995-01-01", "1999-01-01", "2000-01-01", "2002-01-01")
 
 # --- stand-in feeds ------------------------------------------------------------------------
 
@@ -217,7 +217,7 @@ FROM lineitem GROUP BY 1, 2"""
 _CTE["y_aligned"] = """
 SELECT series_id, ts, generation, capacity, load, cf
 FROM (SELECT * FROM (SELECT DISTINCT series_id FROM y_readings), generate_series(
-  TIMESTAMP '1995-01-01', TIMESTAMP '2000-12-31 23:00:00', INTERVAL 1 HOUR) AS g(ts))
+  TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31 23:00:00', INTERVAL 1 HOUR) AS g(ts))
 LEFT JOIN y_readings USING (series_id, ts)"""
 
 _filled("y")
@@ -511,7 +511,7 @@ SELECT series_id, ts, count(*) AS n FROM f_orders GROUP BY series_id, ts HAVING
     "align_mean": """
 SELECT series_id, ts, avg(capacity) AS capacity FROM
   (SELECT * FROM (SELECT DISTINCT series_id FROM f_orders), generate_series(
-    TIMESTAMP '1998-01-01', TIMESTAMP '1998-12-31 23:00:00', INTERVAL 1 HOUR) AS g(ts))
+    TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31 23:00:00', INTERVAL 1 HOUR) AS g(ts))
 LEFT JOIN f_orders USING (series_id, ts) GROUP BY series_id, ts""",
     "feed_join": """
 SELECT series_id, ts, generation, capacity, load, temperature, direct, diffuse

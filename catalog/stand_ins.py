@@ -13,7 +13,7 @@ from helioframe.functions.timeaxis import floor_hour
 from helioframe.schema import Axis, PreprocessConfig, Split
 
 JANUARY = PreprocessConfig(overlap_start="2024-01-01", overlap_end="2024-01-30 23:00:00")
-YEARS = PreprocessConfig(overlap_start="1995-01-01", overlap_end="2000-12-31 23:00:00")
+YEARS = PreprocessConfig(overlap_start="1995-01-01", overlap_end="2001-12-31 23:00:00")
 JANUARY_SPLIT = Split(
     "2024-01-01 00:00:00",
     "2024-01-20 23:00:00",
@@ -28,7 +28,7 @@ YEARS_SPLIT = Split(
     "1999-01-01 00:00:00",
     "1999-12-31 23:00:00",
     "2000-01-01 00:00:00",
-    "2000-12-31 23:00:00",
+    "2001-12-31 23:00:00",
 )
 DAILY = Axis(keys=(), ts="ts")
 

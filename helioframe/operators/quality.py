@@ -39,7 +39,9 @@ def coverage(feeds: Mapping[str, DataFrame], axis: Axis = TALL) -> DataFrame:
 
 def usable_overlap(covered: DataFrame) -> DataFrame:
     """Period shared by all feeds of a ``coverage`` table, in hours and years of 8,760 hours."""
-    hours = hours_between(F.col("overlap_start"), F.col("overlap_end")) + 1
+    # Whole hours, rounded down also where the feeds do not meet.
+    seconds = F.expr("timestampdiff(SECOND, overlap_start, overlap_end)")
+    hours = F.floor(seconds / 3600) + 1
     return (
         covered.agg(
             F.max("start_ts").alias("overlap_start"), F.min("end_ts").alias("overlap_end")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -30,20 +28,14 @@ def build_session(app: str = "helioframe", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
-    """The folder that cuts long lineages, as named by the cluster.
-
-    A temporary folder is chosen only for a local session that names none; on a cluster
-    without the setting the result is None and callers leave lineage uncut.
-    """
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that cuts long lineages, as named by ``spark.checkpoint.dir``; the same rule on every master."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        if not context.master.startswith("local"):
-            return None
-        configured = tempfile.mkdtemp(prefix="helioframe-checkpoint-")
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(configured)
     return configured

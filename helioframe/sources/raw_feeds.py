@@ -56,6 +56,9 @@ def _stacked(df: DataFrame, ts: str, fields: dict[str, str], prefixes: Sequence[
         name = f"{prefix}_{suffix}"
         return F.col(name) if name in df.columns else F.lit(None).cast("double")
 
+    for prefix in prefixes:
+        if not any(f"{prefix}_{suffix}" in df.columns for suffix in fields.values()):
+            raise ValueError(f"no column belongs to series {prefix!r}")
     rows = [
         F.struct(
             F.lit(prefix).alias("series_id"),
