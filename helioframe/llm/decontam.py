@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helioframe.llm.common import as_bytes, pieces, spare_name, written
 
@@ -37,7 +38,13 @@ BLOCKS_AT_ONCE = 4
 # ASCII letters and digits, and everything beyond ASCII, after lower-casing of A-Z (bytes.lower leaves other bytes).
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
-FOUND = "struct<n_words:bigint,spans:array<bigint>,items:array<string>>"
+FOUND = T.StructType(
+    [
+        T.StructField("n_words", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.LongType())),
+        T.StructField("items", T.ArrayType(T.StringType())),
+    ]
+)
 FOUND_ARROW = pa.struct(
     [("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]
 )
@@ -255,7 +262,7 @@ def test_blocks(
 test_blocks.__test__ = False
 
 
-def finder(block, to_arrow: pa.DataType, sql_type: str, look, shard_bytes: int):
+def finder(block, to_arrow: pa.DataType, sql_type: str | T.DataType, look, shard_bytes: int):
     """An Arrow UDF that looks up one broadcast block in the texts that it gets."""
 
     @F.arrow_udf(sql_type)

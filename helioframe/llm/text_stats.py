@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helioframe.llm.common import as_bytes
 
@@ -28,7 +29,7 @@ NAMES = (
     "n_marks",
     "n_stops",
 )
-SCHEMA = "struct<" + ",".join(f"{n}:bigint" for n in NAMES) + ">"
+SCHEMA = T.StructType([T.StructField(n, T.LongType()) for n in NAMES])
 ARROW = pa.struct([(n, pa.int64()) for n in NAMES])
 
 _UPPER = bytes(range(65, 91))
