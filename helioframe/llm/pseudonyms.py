@@ -30,7 +30,10 @@ OCTETS = r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\w)"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}(?!\w)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
-ANY = "|".join((EMAIL, DATE, DAY_FIRST, OCTETS, SSN, PHONE, CARD))
+# Only a digit, a plus or a bracket can begin what is not an e-mail address.
+ANY = f"{EMAIL}|(?=[0-9+(])(?:{'|'.join((DATE, DAY_FIRST, OCTETS, SSN, PHONE, CARD))})"
+# Every form but the e-mail address has such a run; texts without one and without an @ are not searched further.
+DIGITS = r"\d[-\d .()]{5,}\d"
 
 FIRST_DAY, DAYS_LOW, DAYS_HIGH = "1900-01-01", 17, 4297  # 17 * 4297 days: 1900-01-01 to 2099-12-31
 
@@ -186,14 +189,26 @@ def pseudonym(m: Column, key: str) -> Column:
 
 def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text`` replaced; ``count`` names a column for the number of values replaced."""
-    found, new = spare_name(docs, "_found"), spare_name(docs, "_new")
+    rewritten = spare_name(docs, "_rewritten")
     said = F.col(text).cast("string")
-    matches = F.when(said.rlike(ANY), F.regexp_extract_all(said, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    rows = docs.withColumn(found, matches).withColumn(new, F.transform(found, lambda m: pseudonym(m, key)))
-    between = F.split(said, ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(between, F.concat(F.col(new), F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    rows = rows.withColumn(text, F.when(F.size(found) > 0, joined).otherwise(said))
+
+    # Arrays of one element name a value, so that it is computed once.
+    def joined(found: Column, new: Column) -> Column:
+        between = F.split(said, ANY, -1)
+        whole_text = F.array_join(F.flatten(F.zip_with(between, F.concat(new, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
+        changed = F.aggregate(
+            F.zip_with(found, new, lambda a, b: (a != b).cast("bigint")), F.lit(0).cast("bigint"), lambda n, x: n + x
+        )
+        return F.struct(whole_text.alias("text"), changed.alias("n"))
+
+    def replaced(found: Column) -> Column:
+        new = F.array(F.transform(found, lambda m: pseudonym(m, key)))
+        return F.get(F.transform(new, lambda n: joined(found, n)), 0)
+
+    found = F.array(F.regexp_extract_all(said, F.lit(ANY), F.lit(0)))
+    possible = said.contains("@") | said.rlike(DIGITS)
+    rows = docs.withColumn(rewritten, F.when(possible, F.get(F.transform(found, replaced), 0)))
+    rows = rows.withColumn(text, F.coalesce(F.col(f"{rewritten}.text"), said))
     if count:
-        changed = F.filter(F.arrays_zip(F.col(found).alias("a"), F.col(new).alias("b")), lambda p: p["a"] != p["b"])
-        rows = rows.withColumn(count, F.size(changed).cast("bigint"))
-    return rows.drop(found, new)
+        rows = rows.withColumn(count, F.coalesce(F.col(f"{rewritten}.n"), F.lit(0).cast("bigint")))
+    return rows.drop(rewritten)
