@@ -67,6 +67,11 @@ def permuted(values: Column, radices: Column, key: str, kind: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn, lambda s: F.concat(s["v"], s["w"]))
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)``, with the value computed once however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), lambda v: then(v)), 0)
+
+
 def characters(text: Column) -> Column:
     return F.split(text, "")
 
@@ -87,12 +92,11 @@ def by_character(text: Column, key: str, kind: str, fixed_from: Column | None =
         )
 
     bases = F.transform(chars, base)
-    values = F.transform(chars, lambda c, i: F.when(F.get(bases, i) > 0, code(c) - F.get(bases, i)).otherwise(0))
+    values = F.zip_with(chars, bases, lambda c, b: F.when(b > 0, code(c) - b).otherwise(0))
     radices = F.transform(bases, lambda b: F.when(b == 0, 1).when(b == 48, 10).otherwise(26))
+    put = lambda v: F.when(v["b"] > 0, F.char(v["b"] + v["n"])).otherwise(v["c"])
     new = permuted(values, radices, key, kind)
-    return F.array_join(
-        F.transform(chars, lambda c, i: F.when(F.get(bases, i) > 0, F.char(F.get(bases, i) + F.get(new, i))).otherwise(c)), ""
-    )
+    return F.array_join(F.transform(F.arrays_zip(bases.alias("b"), new.alias("n"), chars.alias("c")), put), "")
 
 
 def digits_of(text: Column) -> Column:
@@ -101,17 +105,13 @@ def digits_of(text: Column) -> Column:
 
 def with_digits(text: Column, digits: Column) -> Column:
     """``text`` with its digits, in order, taken from ``digits``."""
-    chars = characters(text)
-    return F.array_join(
-        F.transform(
-            chars,
-            lambda c, i: F.when(
-                c.rlike(r"^\d$"),
-                F.get(digits, F.length(F.regexp_replace(F.substring(text, F.lit(1), i), r"\D", ""))).cast("string"),
-            ).otherwise(c),
-        ),
-        "",
-    )
+    place = lambda i: F.length(F.regexp_replace(F.substring(text, F.lit(1), i), r"\D", ""))
+
+    def write(new: Column) -> Column:
+        pick = lambda c, i: F.when(c.rlike(r"^\d$"), F.get(new, place(i)).cast("string")).otherwise(c)
+        return F.array_join(F.transform(characters(text), pick), "")
+
+    return let(digits, write)
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -130,8 +130,8 @@ def card(m: Column, key: str) -> Column:
         permuted(inner, F.transform(inner, lambda _: F.lit(10)), key, "card").cast("array<int>"),
         F.array(F.lit(0)),
     )
-    check = (10 - luhn_sum(new) % 10) % 10
-    out = with_digits(m, F.concat(F.slice(new, 1, F.size(new) - 1), F.array(check)))
+    closed = let(new, lambda d: F.concat(F.slice(d, 1, F.size(d) - 1), F.array((10 - luhn_sum(d) % 10) % 10)))
+    out = with_digits(m, closed)
     return F.when(luhn_sum(digits) % 10 == 0, out).otherwise(m)
 
 
@@ -159,8 +159,8 @@ def ssn(m: Column, key: str) -> Column:
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     place = area - 1 - (area > 666).cast("int")
     new = permuted(F.array(place, group - 1, serial - 1), F.array(F.lit(898), F.lit(99), F.lit(9999)), key, "ssn")
-    back = F.get(new, 0) + 1 + (F.get(new, 0) >= 665).cast("int")
-    out = F.format_string("%03d-%02d-%04d", back, F.get(new, 1) + 1, F.get(new, 2) + 1)
+    back = lambda v: F.get(v, 0) + 1 + (F.get(v, 0) >= 665).cast("int")
+    out = let(new, lambda v: F.format_string("%03d-%02d-%04d", back(v), F.get(v, 1) + 1, F.get(v, 2) + 1))
     return F.when(valid, out).otherwise(m)
 
 
@@ -170,7 +170,8 @@ def date(m: Column, key: str, form: str) -> Column:
     new = permuted(
         F.array(F.floor(number / DAYS_HIGH), number % DAYS_HIGH), F.array(F.lit(DAYS_LOW), F.lit(DAYS_HIGH)), key, "date"
     )
-    out = F.date_add(F.lit(FIRST_DAY).cast("date"), (F.get(new, 0) * DAYS_HIGH + F.get(new, 1)).cast("int"))
+    number = let(new, lambda v: (F.get(v, 0) * DAYS_HIGH + F.get(v, 1)).cast("int"))
+    out = F.date_add(F.lit(FIRST_DAY).cast("date"), number)
     return F.when(day.isNotNull(), F.date_format(out, form)).otherwise(m)
 
 
