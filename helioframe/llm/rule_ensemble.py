@@ -74,7 +74,8 @@ def sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, sample:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", sample: int = SAMPLE) -> list[tuple[Rule, float]]:
     """Rules with their weights; the empty rule, which always holds, carries the intercept."""
-    train = written(sampled(docs, labels, doc_id, text, sample).coalesce(1).sortWithinPartitions("doc_id", "label", *FEATURES))
+    # A shuffle of the few sampled rows, not coalesce(1), which would draw the scan of all texts into that one task.
+    train = written(sampled(docs, labels, doc_id, text, sample).repartition(1).sortWithinPartitions("doc_id", "label", *FEATURES))
     n, good = train.agg(F.count("label"), F.sum("label")).first()
     if not n or good in (0, n):
         share = (good + 0.5) / (n + 1) if n else 0.5
