@@ -218,6 +218,23 @@ def test_comparison_scores_and_results(labelled, spark, tmp_path):
     run.release()
 
 
+def test_results_store_keeps_every_metric_once(spark, tmp_path):
+    folder, run = str(tmp_path), "2024-06-01"
+    for bias in (0.5, 0.25):
+        given = {"val_rmse": 0.1, "val_bias": bias, "fit_seconds": 3}
+        run_store.log_model_run(spark, folder, run, "first", {}, given, ["x"], {"x": 1.0})
+    run_store.log_model_run(spark, folder, run, "second", {}, {"val_mape": 2.0})
+    run_store.log_model_run(spark, folder, run, "third", {}, {"train_rmse": 0.2, "skill_vs_persistence": 0.3})
+    saved = {(r["model"], r["split"]): r for r in run_store.read_runs(spark, folder).collect()}
+    assert len(saved) == run_store.read_runs(spark, folder).count() == 5
+    assert {r["run_id"] for r in saved.values()} == {run}
+    assert saved["first", "val"]["rmse"] == 0.1 and saved["first", "val"]["others"] is None
+    assert saved["first", None]["others"] == {"val_bias": 0.25, "fit_seconds": 3.0}
+    assert saved["second", None]["others"] == {"val_mape": 2.0}
+    assert saved["third", "train"]["rmse"] == 0.2 and saved["third", None]["others"] == {"skill_vs_persistence": 0.3}
+    assert [r["feature"] for r in run_store.read_importance(spark, folder, run).collect()] == ["x"]
+
+
 def test_comparison_refuses_equal_names(labelled):
     with pytest.raises(ValueError, match="unique"):
         compare_models(labelled[1], [Half(), Half()])
