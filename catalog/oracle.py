@@ -602,6 +602,14 @@ SELECT s.model, round(s.rmse, 6) AS val_rmse, round(s.mae, 6) AS val_mae,
   round(1 - s.rmse / nullif(b.rmse, 0), 6) AS skill, s.n
 FROM m_scores s JOIN (SELECT * FROM m_scores WHERE model = 'persistence') b USING (split)
 WHERE split = 'val' AND s.model <> 'linear_physics'""",
+    # What a check of the given table files has to find, by the manifest's digests of four of them.
+    "file_integrity": """
+SELECT file || '.parquet' AS file, algo, status FROM (VALUES
+  ('orders', 'md5', 'verified'), ('lineitem', 'sha1', 'verified'), ('events', 'sha256', 'verified'),
+  ('supplier', 'md5', 'mismatch'), ('region', NULL, 'skipped'), ('nation', NULL, 'skipped'),
+  ('customer', NULL, 'skipped'), ('part', NULL, 'skipped'), ('documents', NULL, 'skipped'),
+  ('embeddings', NULL, 'skipped'), ('pages', NULL, 'skipped'), ('benchmark', NULL, 'skipped'),
+  ('labels', NULL, 'skipped'), ('conversations', NULL, 'skipped')) v(file, algo, status)""",
 }
 
 SQL: dict[str, str] = {name: _sql(text) for name, text in _STATEMENTS.items()}
