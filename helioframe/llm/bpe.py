@@ -16,6 +16,7 @@ import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,8 @@ DIGEST = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 DIGEST_ARROW = pa.struct(
     [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 )
-#: Pieces whose tokens a worker remembers; then it forgets them and starts anew.
-REMEMBERED = 400_000
+#: Pieces whose tokens a worker remembers, and pairs of tokens; then it forgets them and starts anew.
+REMEMBERED, REMEMBERED_PAIRS = 400_000, 500_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -64,10 +65,15 @@ class Vocabulary:
             raise ValueError(f"the vocabulary lacks {len(missing)} of the 256 single bytes")
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
+        # Finds all tokens in a text, by their ends; a byte is the character of its number.
+        self.finder = ahocorasick.Automaton()
+        for token in self.ranks:
+            self.finder.add_word(token.decode("latin-1"), token)
+        self.finder.make_automaton()
         self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
-        self._stands: dict[tuple[bytes, bytes], bool] = {}
         # Tokens that their own bytes do not encode to never appear in an encoding.
-        self._whole: dict[bytes, bool] = {}
+        self.whole = _Remembered(lambda token: self.halves(token) != (), len(self.ranks))
+        self.stand = _Remembered(self._stand, REMEMBERED_PAIRS)
 
     def halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """What the last merge of ``token`` joins; None for a single byte."""
@@ -81,39 +87,41 @@ class Vocabulary:
             self._halves[token] = pair
         return self._halves[token]
 
-    def whole(self, token: bytes) -> bool:
-        return self.halves(token) != ()
-
-    def stand(self, a: bytes, b: bytes) -> bool:
-        """Whether ``a b`` is the encoding of its own bytes.
+    def _stand(self, pair: tuple[bytes, bytes]) -> bool:
+        """Whether the two tokens are the encoding of their own bytes.
 
         Going back in time, the later of the two merges is undone until both sides are single bytes. If the two tokens
         that touch could have been joined before the next merge on either side took place, they would have been.
         """
-        known = self._stands.get((a, b))
-        if known is not None:
-            return known
-        if len(self._stands) > 2_000_000:
-            self._stands.clear()
-        left, right, ranks = a, b, self.ranks
+        ranks = self.ranks
+        left, right = pair
         # Position in time before which the two touching tokens exist side by side.
         until = len(ranks) * 2
-        out = True
         while True:
             joined = ranks.get(left + right)
             if joined is not None and 2 * joined < until:
-                out = False
-                break
+                return False
             born_left = 2 * ranks[left] if len(left) > 1 else -1
             born_right = 2 * ranks[right] + 1 if len(right) > 1 else -1
             if born_left < 0 and born_right < 0:
-                break
+                return True
             if born_left > born_right:
                 until, left = born_left, self.halves(left)[1]
             else:
                 until, right = born_right, self.halves(right)[0]
-        self._stands[a, b] = out
-        return out
+
+
+class _Remembered(dict):
+    """Values of a function, each computed once while it is remembered."""
+
+    def __init__(self, compute, most: int):
+        self.compute, self.most = compute, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.compute(key)
+        return value
 
 
 class _Below(dict):
@@ -141,16 +149,16 @@ class PrefixTable:
         v, last = self.vocabulary, self.last
         begin = len(self.data)
         self.data += more
-        data = bytes(self.data)
-        ranks = v.ranks
-        for end in range(begin + 1, len(data) + 1):
-            for start in range(max(0, end - v.longest), end):
-                token = data[start:end]
-                if token in ranks and v.whole(token) and (start == 0 or v.stand(last[start], token)):
+        whole, stand = v.whole, v.stand
+        # Every single byte is a token, so the matches leave out no prefix; of those that end it, one stands.
+        for stop, token in v.finder.iter(self.data.decode("latin-1"), max(0, begin - v.longest)):
+            end = stop + 1
+            if end == len(last):
+                start = end - len(token)
+                if whole[token] and (start == 0 or stand[last[start], token]):
                     last.append(token)
-                    break
-            else:
-                raise ValueError(f"no token ends at byte {end}")
+        if len(last) <= len(self.data):
+            raise ValueError(f"no token ends at byte {len(last)}")
 
     def edit(self, start: int, end: int, new: bytes) -> int:
         """Replace bytes [start, end). Returns the number of prefixes that were computed anew: past the change they
@@ -217,10 +225,26 @@ class Encoder:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
 
 
-def _coder(shared, pattern: str, digest: bool):
+#: The encoder of this Python worker, which Spark uses for one task after another, by vocabulary and pattern.
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def _worker_encoder(ranks: dict[bytes, int], version: str, pattern: str) -> Encoder:
+    """An encoder that keeps what it remembers from task to task; only one at a time."""
+    if (version, pattern) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[version, pattern] = Encoder(ranks, pattern)
+    return _ENCODERS[version, pattern]
+
+
+def _coder(spark: SparkSession, ranks_path: str, pattern: str, digest: bool):
+    ranks = read_ranks(spark, ranks_path)
+    version = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
+    shared = spark.sparkContext.broadcast(ranks)
+
     @F.arrow_udf(DIGEST if digest else ENCODED)
     def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(shared.value, pattern)
+        encoder = _worker_encoder(shared.value, version, pattern)
         names = [str(k) for k in range(max(encoder.vocabulary.tokens) + 1)]
         for batch in batches:
             out = []
@@ -245,14 +269,12 @@ def _coder(shared, pattern: str, digest: bool):
 
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, into: str = "bpe", text: str = "text") -> DataFrame:
     """``docs`` with a column ``into``: the token ids of each whole text and the bytes that they decode to."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(docs.sparkSession, ranks_path))
-    return docs.withColumn(into, _coder(shared, pattern, False)(F.col(text).cast("string")))
+    return docs.withColumn(into, _coder(docs.sparkSession, ranks_path, pattern, False)(F.col(text).cast("string")))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: token count, digest of the ids and digest of the decoded bytes."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(docs.sparkSession, ranks_path))
-    code = _coder(shared, pattern, True)
+    code = _coder(docs.sparkSession, ranks_path, pattern, True)
     return docs.select(F.col(doc_id).alias("doc_id"), code(F.col(text).cast("string")).alias("d")).select(
         "doc_id", "d.*"
     )
