@@ -435,6 +435,10 @@ _YEARLY = """
 SELECT CAST(year(ts) AS INTEGER) AS year, round_even(min(capacity), 0) AS min_capacity,
   round_even(max(capacity), 0) AS max_capacity
 FROM f_orders WHERE capacity IS NOT NULL GROUP BY 1"""
+_YEARLY_SERIES = """
+SELECT series_id, CAST(year(ts) AS INTEGER) AS year, round_even(min(capacity), 0) AS min_capacity,
+  round_even(max(capacity), 0) AS max_capacity
+FROM f_orders WHERE capacity IS NOT NULL GROUP BY 1, 2"""
 _POSITION = """
 SELECT l_orderkey, l_linenumber, round(elev, 6) AS elevation_deg,
   round(90.0::DOUBLE - elev, 6) AS zenith_deg, round(sin(radians(bearing + {turn})), 6) AS azimuth_sin,
@@ -484,6 +488,11 @@ FROM d_pairs GROUP BY 1""",
 SELECT count(*) AS n_years, round(CASE WHEN count(*) > 1 THEN
   (arg_max(max_capacity, year) / arg_min(min_capacity, year) - 1) * 100 ELSE 0.0::DOUBLE END, 6)
   AS growth_pct FROM ({_YEARLY})""",
+    "capacity_by_series_year": _YEARLY_SERIES,
+    "capacity_growth_by_series": f"""
+SELECT series_id, count(*) AS n_years, round(CASE WHEN count(*) > 1 THEN
+  (arg_max(max_capacity, year) / arg_min(min_capacity, year) - 1) * 100 ELSE 0.0::DOUBLE END, 6)
+  AS growth_pct FROM ({_YEARLY_SERIES}) GROUP BY 1""",
     "capacity_timeline": """
 SELECT series_id, ts, capacity / 1000.0::DOUBLE AS capacity_thousands
 FROM f_orders WHERE capacity IS NOT NULL""",

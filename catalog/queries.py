@@ -94,6 +94,16 @@ def capacity_growth(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(quality.capacity_growth(capacity_by_year(spark, d)), 6, "growth_pct")
 
 
+def capacity_growth_by_series(spark: SparkSession, d: str) -> DataFrame:
+    by = ("series_id",)
+    yearly = quality.capacity_by_year(si.order_feed(spark, d), by=by)
+    return _rounded(quality.capacity_growth(yearly, by), 6, "growth_pct")
+
+
+def capacity_by_series_year(spark: SparkSession, d: str) -> DataFrame:
+    return quality.capacity_by_year(si.order_feed(spark, d), by=("series_id",))
+
+
 def capacity_timeline(spark: SparkSession, d: str) -> DataFrame:
     return quality.capacity_timeline(si.order_feed(spark, d))
 
@@ -500,6 +510,8 @@ REGISTRY: dict[str, Query] = {
     "corr_by_month": corr_by_month,
     "capacity_by_year": capacity_by_year,
     "capacity_growth": capacity_growth,
+    "capacity_by_series_year": capacity_by_series_year,
+    "capacity_growth_by_series": capacity_growth_by_series,
     "capacity_timeline": capacity_timeline,
     "one_year": one_year,
     "target_completeness": target_completeness,

@@ -150,31 +150,41 @@ def paired_feeds(
     )
 
 
-def overall_correlation(paired: DataFrame, x: str = "generation", y: str = "ghi") -> DataFrame:
-    return paired.agg(pearson(x, y).alias("corr"), F.count("*").alias("n"))
+def overall_correlation(
+    paired: DataFrame, x: str = "generation", y: str = "ghi", by: Sequence[str] = ()
+) -> DataFrame:
+    """Correlation of all rows, or one for each value of the columns ``by``."""
+    return paired.groupBy(*by).agg(pearson(x, y).alias("corr"), F.count("*").alias("n"))
 
 
 def correlation_by_month(
-    paired: DataFrame, x: str = "generation", y: str = "ghi", axis: Axis = TALL, digits: int = 3
+    paired: DataFrame,
+    x: str = "generation",
+    y: str = "ghi",
+    axis: Axis = TALL,
+    digits: int = 3,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Correlation per calendar month, over all years together."""
     return (
-        paired.groupBy(F.month(axis.ts).alias("month"))
+        paired.groupBy(*by, F.month(axis.ts).alias("month"))
         .agg(F.bround(pearson(x, y), digits).alias("corr"))
-        .orderBy("month")
+        .orderBy(*by, "month")
     )
 
 
-def capacity_by_year(df: DataFrame, capacity: str = "capacity", axis: Axis = TALL) -> DataFrame:
-    """Lowest and highest capacity of each year, rounded to whole units."""
+def capacity_by_year(
+    df: DataFrame, capacity: str = "capacity", axis: Axis = TALL, by: Sequence[str] = ()
+) -> DataFrame:
+    """Lowest and highest capacity of each year, rounded to whole units; ``by`` keeps series apart."""
     return (
         df.where(F.col(capacity).isNotNull())
-        .groupBy(F.year(axis.ts).alias("year"))
+        .groupBy(*by, F.year(axis.ts).alias("year"))
         .agg(
             F.bround(F.min(capacity), 0).alias("min_capacity"),
             F.bround(F.max(capacity), 0).alias("max_capacity"),
         )
-        .orderBy("year")
+        .orderBy(*by, "year")
     )
 
 
@@ -184,27 +194,33 @@ def capacity_timeline(df: DataFrame, capacity: str = "capacity", axis: Axis = TA
     return known.select(*axis.columns, (F.col(capacity) / 1000.0).alias("capacity_thousands"))
 
 
-def capacity_growth(yearly: DataFrame) -> DataFrame:
-    """Growth from the first year's minimum to the last year's maximum, 0 for a single year."""
+def capacity_growth(yearly: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Growth from the first year's minimum to the last year's maximum, 0 for a single year.
+
+    With several series pass ``by``, here and to ``capacity_by_year``: pooled, it compares one
+    series' minimum with another's maximum.
+    """
     first, last = F.min_by("min_capacity", "year"), F.max_by("max_capacity", "year")
     growth = (ratio(last, first) - 1.0) * 100.0
-    return yearly.agg(
+    return yearly.groupBy(*by).agg(
         F.count("*").alias("n_years"),
         F.when(F.count("*") > 1, growth).otherwise(F.lit(0.0)).alias("growth_pct"),
     )
 
 
-def missing_heatmap(df: DataFrame, column: str = "generation", axis: Axis = TALL) -> DataFrame:
+def missing_heatmap(
+    df: DataFrame, column: str = "generation", axis: Axis = TALL, by: Sequence[str] = ()
+) -> DataFrame:
     """Share of missing values per year (rows) and month (columns ``m01`` to ``m12``)."""
     month = F.month(axis.ts)
-    cells = df.groupBy(F.year(axis.ts).alias("year"), month.alias("month")).agg(
+    cells = df.groupBy(*by, F.year(axis.ts).alias("year"), month.alias("month")).agg(
         F.avg(F.when(F.col(column).isNull(), 1.0).otherwise(0.0)).alias("missing")
     )
     # Twelve fixed columns: no extra job to discover the pivot values.
-    pivoted = cells.groupBy("year").pivot("month", list(MONTHS)).agg(F.first("missing"))
+    pivoted = cells.groupBy(*by, "year").pivot("month", list(MONTHS)).agg(F.first("missing"))
     return pivoted.select(
-        "year", *[F.col(str(m)).alias(f"m{m:02d}") for m in MONTHS]
-    ).orderBy("year")
+        *by, "year", *[F.col(str(m)).alias(f"m{m:02d}") for m in MONTHS]
+    ).orderBy(*by, "year")
 
 
 def one_year(

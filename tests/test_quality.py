@@ -127,3 +127,22 @@ def test_profile_tables_equal_the_single_operators(readings, weather, spark, tmp
         for a, b in zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True):
             for x, y in zip(a, b, strict=True):
                 assert x == (pytest.approx(y) if isinstance(y, float) else y), name
+
+
+def test_growth_of_each_series_is_its_own(spark):
+    rows = [("a", 2019, 10.0), ("a", 2020, 11.0), ("b", 2019, 1000.0), ("b", 2020, 1100.0), ("c", 2020, 5.0)]
+    feed = spark.createDataFrame(rows, "series_id string, year int, capacity double").selectExpr(
+        "series_id", "make_timestamp_ntz(year, 6, 1, 12, 0, 0) AS ts", "capacity"
+    )
+    by = ("series_id",)
+    got = q.capacity_growth(q.capacity_by_year(feed, by=by), by).collect()
+    assert {r.series_id: (r.n_years, round(r.growth_pct, 6)) for r in got} == {
+        "a": (2, 10.0),
+        "b": (2, 10.0),
+        "c": (1, 0.0),
+    }
+    heat = q.missing_heatmap(feed, "capacity", by=by).collect()
+    assert [(r.series_id, r.year, r.m06, r.m01) for r in heat if r.series_id == "a"] == [
+        ("a", 2019, 0.0, None),
+        ("a", 2020, 0.0, None),
+    ]
