@@ -31,24 +31,23 @@ def _complete(spark: SparkSession, path: str) -> bool:
 
 
 def write_dataset(
-    df: DataFrame, path: str, axis: Axis = TALL, files_per_year: int | None = None
+    df: DataFrame, path: str, axis: Axis = TALL, rows_per_file: int = 20_000_000
 ) -> None:
     """Snappy parquet in one folder per year, each file sorted by series and time.
 
-    A month of a series goes to one of ``files_per_year`` files by hash, so files are even
-    whatever the length of a series, and no sampling pass is needed. Sorting gives row
-    groups narrow series bounds to skip by. (A folder per series would be one tiny file for
-    each of possibly millions of series.)
+    The number of files follows the volume: Spark merges small partitions and splits a large
+    year, or one long series, by the size it has measured
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), and no file has more than
+    ``rows_per_file`` rows. Sorting gives row groups narrow series bounds to skip by. (A folder
+    per series would be one tiny file for each of possibly millions of series.)
     """
-    spark = df.sparkSession
-    files = files_per_year or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slot = F.pmod(F.xxhash64(*axis.keys, F.month(axis.ts)), F.lit(files))
     (
         df.withColumn("year", F.year(axis.ts))
-        .repartition("year", slot)
+        .hint("rebalance", "year")
         .sortWithinPartitions("year", *axis.columns)
         .write.mode("overwrite")
         .option("compression", "snappy")
+        .option("maxRecordsPerFile", rows_per_file)
         .partitionBy("year")
         .parquet(path)
     )
