@@ -19,6 +19,7 @@ from helioframe.models.simple import (
     PurePhysics,
 )
 from helioframe.models.trees import FEATURE_SETS, BoostedTrees
+from helioframe.operators.lags import lag_name
 from helioframe.operators.scoring import (
     Metrics,
     add_skill,
@@ -26,36 +27,55 @@ from helioframe.operators.scoring import (
     long_predictions,
     score_predictions,
 )
-from helioframe.schema import TALL, Axis, Split
+from helioframe.schema import (
+    CALENDAR_COLUMNS,
+    DEFAULT_LAGS,
+    PHYSICS_FEATURES,
+    TALL,
+    WEATHER_FEATURES,
+    Axis,
+    Split,
+)
 from helioframe.sources.run_store import append_run, describe_models, importance_rows, run_metrics
 
 SCORED_SPLITS = ("train", "val")
 
 
+def feature_names(features: Sequence[str], target: str = "cf", prefix: str = "") -> list[str]:
+    """Tall feature names in a layout whose columns carry ``prefix`` (``DE_``): lags are named
+    after the target, calendar columns belong to no series."""
+    lags = {lag_name("cf", k): lag_name(target, k) for k in DEFAULT_LAGS}
+    return [f if f in CALENDAR_COLUMNS else lags.get(f, f"{prefix}{f}") for f in features]
+
+
 def baseline_models(
-    split: Split | None = None, target: str = "cf", axis: Axis = TALL
+    split: Split | None = None, target: str = "cf", axis: Axis = TALL, prefix: str = ""
 ) -> list[Forecaster]:
-    """The six forecasters without trees, in report order."""
+    """The six forecasters without trees, in report order; ``prefix`` is that of a wide frame."""
     s = split or Split()
     return [
         Persistence(target, axis, s),
         DailySeasonalNaive(target, axis, s),
         HourOfYearClimatology(target, axis),
-        LinearWeather(target, axis=axis),
-        PurePhysics(target=target, axis=axis),
-        LinearPhysics(target, axis=axis),
+        LinearWeather(target, feature_names(WEATHER_FEATURES, target, prefix), axis),
+        PurePhysics(f"{prefix}cf_theory", target, axis),
+        LinearPhysics(target, feature_names(PHYSICS_FEATURES, target, prefix), axis),
     ]
 
 
 def default_models(
-    split: Split | None = None, target: str = "cf", axis: Axis = TALL, **trees: Any
+    split: Split | None = None,
+    target: str = "cf",
+    axis: Axis = TALL,
+    prefix: str = "",
+    **trees: Any,
 ) -> list[Forecaster]:
     """All nine forecasters; ``trees`` overrides the parameters of the boosted ones."""
     boosted = [
-        BoostedTrees(target, features, axis=axis, name=name, **trees)
+        BoostedTrees(target, feature_names(features, target, prefix), axis=axis, name=name, **trees)
         for name, features in FEATURE_SETS.items()
     ]
-    return [*baseline_models(split, target, axis), *boosted]
+    return [*baseline_models(split, target, axis, prefix), *boosted]
 
 
 @dataclass

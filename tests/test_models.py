@@ -20,7 +20,7 @@ from helioframe.models.trees import BoostedTrees, best_prefix
 from helioframe.operators.physics import add_physics
 from helioframe.operators.splits import add_split
 from helioframe.plans.compare import baseline_models, compare_models, default_models, run_one
-from helioframe.schema import PHYSICS_FEATURES, Split
+from helioframe.schema import PHYSICS_FEATURES, WIDE, Split
 from helioframe.sources import run_store
 from tests.conftest import column, hours
 
@@ -245,3 +245,24 @@ def test_nine_models_in_order():
         "persistence", "daily_seasonal_naive", "hour_of_year_climatology", "linear_weather",
         "pure_physics", "linear_physics", "boosted_weather", "boosted_physics", "boosted_lag",
     ]
+
+
+def test_model_ladder_on_a_wide_frame(spark):
+    split = Split(
+        "2018-06-01 00:00:00", "2018-06-02 23:00:00",
+        "2019-06-01 00:00:00", "2019-06-02 23:00:00",
+        "2020-06-01 00:00:00", "2020-06-02 23:00:00",
+    )
+    physics = [f"DE_{f}" for f in PHYSICS_FEATURES] + ["DE_cf_theory"]
+    features = spark.range(96).selectExpr(
+        "timestamp_ntz '2018-06-01 00:00:00' + make_dt_interval(0, int(if(id < 48, id, id - 48 + 8760))) AS utc_timestamp",
+        "CASE WHEN id < 48 THEN 'train' ELSE 'val' END AS split",
+        "abs(hash(id, 0) % 1000) / 1000.0D AS DE_solar_cf",
+        *[f"double(abs(hash(id, {k + 1}) % 1000)) / 1000.0D AS {f}" for k, f in enumerate(dict.fromkeys(physics))],
+        *[f"double(id % {h + 2}) / 200.0D AS DE_solar_cf_lag_{h}h" for h in (1, 24, 168)],
+        *[f"double(id % 7) / 7.0D AS {c}" for c in ("hour_sin", "hour_cos", "doy_sin", "doy_cos")],
+    )
+    models = default_models(split, "DE_solar_cf", WIDE, "DE_", n_estimators=2, max_depth=2)
+    run = compare_models(features, models, "DE_solar_cf", WIDE)
+    assert {r.model for r in run.scores.collect()} == {m.name for m in models} and len(models) == 9
+    run.release()
