@@ -1,13 +1,16 @@
 """Quality rules whose cutoffs are chosen on labelled holdouts with a guarantee.
 
 Each rule rejects a document whose statistic exceeds a cutoff. Candidate cutoffs are a fixed grid, chosen before any
-label is seen. For a stratum (language), a rule and a cutoff, k of the n good labelled documents would be rejected; the
-cutoff is admissible if the exact binomial (Clopper-Pearson) upper bound of the false-rejection rate at k of n stays
-within the rule's share of ``false_rejection``. The bound holds at level ``risk`` divided by the number of all
-(stratum, rule, cutoff) tests, so that with probability 1 - ``risk`` every chosen cutoff keeps its limit everywhere.
-Of the admissible cutoffs the one that rejects most is taken; a stratum with too few labels gets no cutoff.
+label is seen, and form one ladder from laxest to strictest: each step makes one rule stricter, all rules by turns. A
+step is tested per stratum (language) on what the rules as they then stand reject together: k of the n good labelled documents.
+It is admissible if the exact binomial (Clopper-Pearson) upper bound of the joint false-rejection rate at k of n
+stays within ``false_rejection``. The ladder is climbed until the first step that fails, and the step before is taken.
+An error needs the first step beyond the limit to pass, which is one fixed test, so the level is not divided by the
+number of cutoffs, only by that of the strata (fixed-sequence testing): with probability 1 - ``risk`` every stratum
+keeps its limit. At 2 % and a level of 1 % a step without a false rejection needs 228 good labels; a stratum with fewer
+gets no cutoff. As the ladder ends with the first failure, a rule that rejects too many good documents ends it for all.
 
-The labels enter as one count per stratum, rule and cutoff: a grid of fixed size, which is all that reaches the driver.
+The labels enter as one count per stratum and step: a grid of fixed size, which is all that reaches the driver.
 
 Defined cases: null texts have zero words and fail the base rule; a null or unnamed language belongs to the stratum
 ``other``; null labels and labels of unknown documents are not used; several labels of one document count as bad if one
@@ -62,28 +65,32 @@ def one_label(labels: DataFrame, label: str = "quality") -> DataFrame:
     return labels.where(f"doc_id is not null and {label} is not null").groupBy("doc_id").agg(F.min(label).alias("label"))
 
 
+def ladder(grid: dict[str, tuple[float, ...]] = GRID) -> list[tuple[str, float]]:
+    """The cutoffs in the order in which they are tested: the laxest of every rule, then the next of every rule, ..."""
+    rounds = range(max(map(len, grid.values()), default=0))
+    return [(name, cuts[i]) for i in rounds for name, cuts in grid.items() if i < len(cuts)]
+
+
 def choose_cutoffs(
     labelled: DataFrame, false_rejection: float = FALSE_REJECTION, risk: float = RISK, strata=STRATA, grid=GRID
 ) -> dict[str, dict[str, float]]:
     """Stratum -> statistic -> cutoff. ``labelled`` has stratum, label and a column for each statistic, and only rows
     that pass the base rule."""
-    counts = labelled.where("label = 1").groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n"),
-        *(
-            F.count(F.when(F.col(name) > cut, 1)).alias(f"{name}_{i}")
-            for name, cuts in grid.items()
-            for i, cut in enumerate(cuts)
-        ),
-    )
-    tests = (len(strata) + 1) * sum(map(len, grid.values()))
-    limit = false_rejection / len(grid)
+    steps = ladder(grid)
+    # The first step that rejects a document; those after it only reject more.
+    first = F.array_min(F.array(*(F.when(F.col(name) > cut, i) for i, (name, cut) in enumerate(steps))))
+    counts = labelled.where("label = 1").groupBy("stratum", first.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    rejected: dict[str, dict[int | None, int]] = {}
+    for row in counts.collect():  # at most one row per stratum and step
+        rejected.setdefault(row["stratum"], {})[row["step"]] = row["n"]
     out: dict[str, dict[str, float]] = {}
-    for row in counts.collect():  # at most one row per stratum
-        chosen = out.setdefault(row["stratum"], {})
-        for name, cuts in grid.items():
-            for i, cut in enumerate(cuts):
-                if admissible(row[f"{name}_{i}"], row["n"], limit, risk / tests):
-                    chosen[name] = cut
+    for name, by_step in rejected.items():
+        chosen, n, k = out.setdefault(name, {}), sum(by_step.values()), 0
+        for i, (stat, cut) in enumerate(steps):
+            k += by_step.get(i, 0)
+            if not admissible(k, n, false_rejection, risk / (len(strata) + 1)):
+                break
+            chosen[stat] = cut
     return out
 
 
@@ -93,26 +100,32 @@ def base_failed(s: str) -> Column:
 
 
 def labelled_stats(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
-    """The statistics of the labelled documents that pass the base rule. Labels join before texts are read closely."""
-    known = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), stratum(lang).alias("stratum"))
-    rows = known.join(one_label(labels), "doc_id").select("stratum", "label", text_stats("text").alias("s"))
-    return rows.where(~base_failed("s")).select("stratum", "label", *(c.alias(n) for n, c in derived("s").items() if n in GRID))
+    """The statistics of the labelled documents that pass the base rule. Statistics join the labels, so no text travels."""
+    known = docs.select(F.col(doc_id).alias("doc_id"), stratum(lang).alias("stratum"), text_stats(F.col(text).cast("string")).alias("s"))
+    rows = known.where(~base_failed("s")).select("doc_id", "stratum", *(c.alias(n) for n, c in derived("s").items() if n in GRID))
+    return rows.join(one_label(labels), "doc_id").drop("doc_id")
 
 
 def judged(docs: DataFrame, labels: DataFrame, into: str, doc_id="doc_id", text="text", lang="lang", **how) -> DataFrame:
-    """``docs`` with a struct ``into``: the base statistics, base_failed and kept."""
+    """``docs`` with a struct ``into``: the base statistics, base_failed, kept, the stratum and the cutoffs that it got
+    (null for none)."""
     cutoffs = choose_cutoffs(labelled_stats(docs, labels, doc_id, text, lang), **how)
     s, g = spare_name(docs, "_stats"), spare_name(docs, "_stratum")
     rows = docs.withColumn(s, text_stats(F.col(text).cast("string"))).withColumn(g, stratum(lang))
     ratios = derived(s)
     keep = F.lit(True)
+    said = F.lit(None).cast("string")
     for name, cuts in cutoffs.items():
+        if cuts:
+            listed = ", ".join(f"{stat} > {cut:g}" for stat, cut in cuts.items())
+            said = F.when(F.col(g) == name, F.lit(listed)).otherwise(said)
         for stat, cut in cuts.items():
             keep = keep & ~((F.col(g) == name) & (ratios[stat] > cut))
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     fields = [F.col(f"{s}.{n}").alias(n) for n in base]
     failed = base_failed(s)
-    return rows.withColumn(into, F.struct(*fields, failed.alias("base_failed"), (~failed & keep).alias("kept"))).drop(s, g)
+    fields += [failed.alias("base_failed"), (~failed & keep).alias("kept"), F.col(g).alias("stratum"), said.alias("cutoffs")]
+    return rows.withColumn(into, F.struct(*fields)).drop(s, g)
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:

@@ -207,6 +207,30 @@ def test_cutoffs_keep_their_limit(spark, odd):
     assert quality_rules.quality_verdicts(odd.limit(0), labels.limit(0)).count() == 0
 
 
+def test_cutoffs_are_chosen_from_few_labels_and_bound_the_joint_rate(spark):
+    steps = quality_rules.ladder({"a": (3.0, 2.0), "b": (9.0,)})
+    assert steps == [("a", 3.0), ("b", 9.0), ("a", 2.0)]
+    grid = {"upper_share": (0.9, 0.5), "mark_share": (0.9, 0.5)}
+    rows = [("en", 1, 0.0, 0.0)] * 228 + [("fr", 1, 0.0, 0.0)] * 227
+    # Each rule alone rejects 1.5 % of the German documents at its second cutoff, both together 3 %.
+    rows += [("de", 1, 0.0, 0.0)] * 9700 + [("de", 1, 0.6, 0.0)] * 150 + [("de", 1, 0.0, 0.6)] * 150
+    labelled = spark.createDataFrame(rows, "stratum string, label int, upper_share double, mark_share double")
+    chosen = quality_rules.choose_cutoffs(labelled, grid=grid)
+    assert chosen["en"] == {"upper_share": 0.5, "mark_share": 0.5} and chosen["fr"] == {}
+    assert chosen["de"] == {"upper_share": 0.5, "mark_share": 0.9}
+
+
+def test_production_cutoffs_reject_the_bad_documents(spark):
+    known = quality_rules.one_label(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    got = queries.op3_quality_rules(spark, "/root/testdata/sf0.1").where("not base_failed").join(known, "doc_id")
+    rows = got.groupBy("stratum", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("kept"), F.max("cutoffs").alias("c"))
+    rows = {(r["stratum"], r["label"]): r for r in rows.collect()}
+    for name in quality_rules.STRATA:
+        good, bad = rows[name, 1], rows[name, 0]
+        assert good["c"] and bad["n"] > 0 and bad["kept"] == 0
+        assert good["n"] - good["kept"] <= quality_rules.FALSE_REJECTION * good["n"]
+
+
 def test_placement_equals_taking_turns(spark, odd):
     names = ["a", "b", "c"]
     table = placement.lookup_table(names, 13)
