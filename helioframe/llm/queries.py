@@ -62,7 +62,7 @@ def op8_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, d: str) -> DataFrame:
-    return licenses.license_matches(table(spark, d, "documents"))
+    return licenses.license_matches(table(spark, d, "documents"), templates=licenses.read_templates())
 
 
 def op10_byte_bpe(spark: SparkSession, d: str) -> DataFrame:

@@ -355,6 +355,40 @@ def test_licenses_equal_containment(spark, docs, odd):
     assert licenses.license_matches(odd).where("n_licenses > 0").count() == 0
 
 
+def test_licenses_are_told_apart(spark):
+    templates = licenses.read_templates()
+    known = licenses.Templates(templates)
+
+    def found(text):
+        return known.matches(decontam.words_of(text.encode()), licenses.WordHashes())
+
+    header = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    want = {
+        "This code is licensed under the MIT License": "MIT",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        "licensed under the GNU General Public License, version 2": "GPL-2.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        header.format("program", "Affero General Public License", "3"): "AGPL-3.0",
+        header.format("library", "Lesser General Public License", "3"): "LGPL-3.0",
+        header.format("program", "General Public License", "2"): "GPL-2.0",
+        header.format("program", "General Public License", "3"): "GPL-3.0",
+        "Released under the terms of the Eclipse Public License 2.0.": "EPL-2.0",
+        "SPDX-License-Identifier: 0BSD": "0BSD",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    }
+    for spdx in ("BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "Unlicense", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MIT", "ISC", "0BSD"):
+        want[templates[f"{spdx}#text"]] = spdx
+    got = {text: found(f"Some words before. {text} And some after it.") for text in want}
+    assert {t: sorted({m["license"] for m in ms}) for t, ms in got.items()} == {t: [name] for t, name in want.items()}
+    places = [(m["license"], m["first_word"], m["last_word"]) for m in found("under the MIT License or under the ISC license or under the MIT License")]
+    assert places == [("ISC", 5, 8), ("MIT", 0, 3), ("MIT", 10, 13)]
+    assert found("GNU General Public License, version 7, and nothing else") == []
+    frame = spark.createDataFrame([(1, "x under the MIT License"), (2, None)], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in licenses.license_matches(frame, templates=templates).collect()}
+    assert rows[1].licenses == "MIT" and rows[1].matches[0].last_word == 4 and rows[2].matches == []
+
+
 @pytest.fixture(scope="module")
 def ranks():
     lines = open(public_tokenizers.path(queries.BYTE_BPE)).read().split("\n")
