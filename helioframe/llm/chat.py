@@ -1,6 +1,6 @@
 """Conversations rebuilt from event logs and rendered for training.
 
-A log has rows (conv_id, seq, kind, message, role, text). It is partitioned by conversation, sorted by seq and folded:
+A log has rows (conv_id, seq, kind, message, role, text). Its events in the order of seq mean:
 
 ``message``     begins a message with a role and a first text (again: begins it anew)
 ``delta``       appends streamed text to a message
@@ -11,8 +11,11 @@ The messages are rendered as ``### role: text</turn>\n``. Inside roles and texts
 and ``#``, and into every ``</``, so that neither mark can appear in them; taking the backslashes out restores them. The
 loss mask of a turn is the span of an assistant's text in the rendered turn.
 
-A task folds one conversation at a time, which is one training example; sorting spills to disk. The log is cut into
-deltas before the shuffle, so no event is large.
+A conversation may hold a large part of all rows, so it is dealt out in blocks of ``RANGE`` message numbers. A message
+depends on other messages only by the last regeneration of a smaller number, so in the order of message and seq a task
+folds it with the last such event so far and the parts of one message in memory. What blocks need from those before, the
+last regeneration and the number of turns, are prefixes over one row per block, which travel as the block's first row.
+Only the digest of a conversation, a hash over its turns in order, is a stream in one task, whose sort spills to disk.
 
 Defined cases: a null text or role is empty; events of one seq are taken in the order of kind, message, role and text; an
 event for a message that never began begins it without a role; a null conv_id is a conversation of its own; a log
@@ -25,11 +28,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Message numbers, or turns, that one task takes together.
+RANGE = 256
 #: Code points in a streamed delta of a log that is made from finished turns.
 DELTA = 512
 
@@ -57,6 +63,9 @@ DIGESTS_ARROW = pa.schema(
     ]
 )
 
+COUNTS = "conv_id bigint, block bigint, n bigint"
+COUNTS_ARROW = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("n", pa.int64())])
+
 # A rendered turn: role and text are anything but unescaped marks; ": " ends the role, in which colons are escaped.
 TURN = re.compile(r"### ((?:[^\\:]|\\.)*): (.*)</turn>\n", re.DOTALL)
 
@@ -117,17 +126,52 @@ def in_batches(rows, schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
 
 
+def later(a: tuple, b: tuple) -> bool:
+    """Whether place (seq, kind, message) a is after b; null comes first, as in Spark's order."""
+    return [(x is not None, x) for x in a] > [(x is not None, x) for x in b]
+
+
+def surviving(events) -> Iterator[tuple[int, str, str]]:
+    """(first turn, role, text) of the final messages of a block. The first event has what the blocks before have left."""
+    head = next(events)
+    cut = head[-1] and tuple(head[-1].values())
+    for message, own in groupby(events, key=itemgetter(3)):
+        role, parts, begun, next_cut = "", [], False, cut
+        for _, _, _, _, seq, kind, said, text, _, _ in own:
+            place = (seq, kind, message)
+            if kind == "regenerate":
+                parts.clear()
+                if next_cut is None or later(place, next_cut):
+                    next_cut = place
+            elif cut is None or later(place, cut):
+                if kind == "message" or not begun:
+                    role, begun = said or "", True
+                if kind != "delta":
+                    parts.clear()
+                parts.append(text or "")
+        cut = next_cut
+        if begun:
+            yield head[-2], role, "".join(parts)
+
+
 def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rendered():
-        for conv, events in groupby(rows_of(batches), key=lambda r: r[0]):
-            final = fold((kind, message or 0, role or "", text or "") for _, kind, message, role, text in events)
-            for k, (role, text) in enumerate(final):
+        for (conv, _), events in groupby(rows_of(batches), key=itemgetter(0, 1)):
+            for k, (first, role, text) in enumerate(surviving(events)):
                 turn, start, end = render(role, text)
-                yield conv, k, role, turn, start, end
+                yield conv, first + k, role, turn, start, end
 
     return in_batches(rendered(), TURNS_ARROW)
 
 
+def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted():
+        for (conv, block), events in groupby(rows_of(batches), key=itemgetter(0, 1)):
+            yield conv, block, sum(1 for _ in surviving(events))
+
+    return in_batches(counted(), COUNTS_ARROW)
+
+
 def turn_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def digests():
         for conv, said in groupby(rows_of(batches), key=lambda r: r[0]):
@@ -144,11 +188,33 @@ def turn_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return in_batches(digests(), DIGESTS_ARROW)
 
 
+def _before(value):
+    """``value``, an aggregate, over the blocks of the conversation before this one."""
+    return value.over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+
+
+def _dealt(events: DataFrame, heads: DataFrame) -> DataFrame:
+    """Each block's events in the order of message and seq, after its row of ``heads``, which has first_turn and cut."""
+    order = ["conv_id", "block", "body", "message", "seq", "kind", "role", "text"]
+    rows = events.withColumn("body", F.lit(1)).unionByName(heads.withColumn("body", F.lit(0)), allowMissingColumns=True)
+    rows = rows.repartition("conv_id", "block").sortWithinPartitions(*order)
+    return rows.select("conv_id", "block", "body", "message", "seq", "kind", "role", "text", "first_turn", "cut")
+
+
 def formatted_turns(log: DataFrame) -> DataFrame:
-    """One row per final turn, rendered, with its loss span; each partition has its conversations one after another."""
-    order = ["conv_id", "seq", "kind", "message", "role", "text"]
-    rows = log.select(*order).repartition("conv_id").sortWithinPartitions(*order)
-    return rows.select("conv_id", "kind", "message", "role", "text").mapInArrow(turns, TURNS)
+    """One row per final turn, rendered, with its loss span."""
+    number = F.coalesce(F.col("message").cast("bigint"), F.lit(0).cast("bigint"))
+    events = log.select("conv_id", F.col("seq").cast("bigint").alias("seq"), "kind", number.alias("message"), "role", "text")
+    events = events.withColumn("block", F.floor(F.col("message") / RANGE))
+    place = F.when(F.col("kind") == "regenerate", F.struct("seq", "kind", "message"))
+    blocks = events.groupBy("conv_id", "block").agg(F.max(place).alias("last"))
+    cuts = blocks.select("conv_id", "block", F.lit(0).cast("bigint").alias("first_turn"), _before(F.max("last")).alias("cut"))
+    counts = _dealt(events.withColumn("text", F.lit(None).cast("string")), cuts).mapInArrow(survivors, COUNTS)
+    firsts = counts.select("conv_id", "block", F.coalesce(_before(F.sum("n")), F.lit(0).cast("bigint")).alias("first_turn"))
+    # One row per block from either side, by a sum and not a join: a null conversation is one, too.
+    heads = cuts.unionByName(firsts, allowMissingColumns=True).groupBy("conv_id", "block")
+    heads = heads.agg(F.sum("first_turn").alias("first_turn"), F.max("cut").alias("cut"))
+    return _dealt(events, heads).mapInArrow(turns, TURNS)
 
 
 def log_of_turns(turns_table: DataFrame, delta: int = DELTA) -> DataFrame:
@@ -176,15 +242,21 @@ def log_of_turns(turns_table: DataFrame, delta: int = DELTA) -> DataFrame:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    return rows.select("conv_id", "role", "text", F.row_number().over(order).cast("bigint").alias("message"))
+    """Messages numbered from 1 in the order of turn, role and text: the counts of the blocks before, and the place in the block."""
+    rows = rows.withColumn("block", F.floor(F.col("turn") / RANGE))
+    counts = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"))
+    heads = counts.select("conv_id", "block", F.coalesce(_before(F.sum("n")), F.lit(0).cast("bigint")).alias("before"))
+    both = rows.withColumn("body", F.lit(1)).unionByName(heads.withColumn("body", F.lit(0)), allowMissingColumns=True)
+    order = Window.partitionBy("conv_id", "block").orderBy("body", "turn", "role", "text")
+    # The head is the first row of its block.
+    message = F.row_number().over(order) - 1 + F.first("before").over(order)
+    return both.select("conv_id", "body", "role", "text", message.alias("message")).where("body = 1").drop("body")
 
 
 def conversation_digests(turn_rows: DataFrame) -> DataFrame:
-    """One row per conversation, read back from the rendered turns of ``formatted_turns`` in the same partitions."""
-    return turn_rows.mapInArrow(turn_digests, DIGESTS)
+    """One row per conversation, read back from its rendered turns in order."""
+    order = ["conv_id", "turn"]
+    return turn_rows.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(turn_digests, DIGESTS)
 
 
 def control_case(spark: SparkSession) -> DataFrame:

@@ -291,6 +291,29 @@ def test_turns_come_back(spark):
     assert (got.loss_chars, got.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_blocks_fold_like_the_whole_log(spark, monkeypatch):
+    rng = random.Random(8)
+    kinds = ["message"] * 4 + ["delta"] * 5 + ["edit", "regenerate"]
+    log = [(c, s, rng.choice(kinds), rng.randrange(12), rng.choice(["user", "assistant"]), f"{s} ") for c in (1, 2, None) for s in range(150)]
+    rng.shuffle(log)
+    schema = "conv_id bigint, seq bigint, kind string, message bigint, role string, text string"
+    frame = spark.createDataFrame(log, schema)
+    monkeypatch.setattr(chat, "RANGE", 3)
+    rows = chat.formatted_turns(frame).collect()
+    for conv in (1, 2, None):
+        events = sorted((e for e in log if e[0] == conv), key=lambda e: e[1])
+        got = sorted((r.turn, *chat.read_back(r.formatted)) for r in rows if r.conv_id == conv)
+        assert got == [(k, *m) for k, m in enumerate(chat.fold(e[2:] for e in events))]
+    # The blocks of one conversation lie in several partitions.
+    one = spark.range(400).selectExpr("1L conv_id", "id seq", "'message' kind", "id message", "'user' role", "'x' text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = chat.formatted_turns(one).select(F.spark_partition_id().alias("p"), "turn").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.p for r in spread}) > 1 and sorted(r.turn for r in spread) == list(range(400))
+
+
 def test_rules_score_held_out_labels(spark, odd):
     d = "/root/testdata/sf0.01"
     scores = queries.op7_rule_ensemble(spark, d)
