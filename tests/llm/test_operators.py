@@ -412,6 +412,14 @@ def test_licenses_are_told_apart(spark):
     assert rows[1].licenses == "MIT" and rows[1].matches[0].last_word == 4 and rows[2].matches == []
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, a), (1, a + " more"), (2, a), (None, a), (None, b), (None, b), (None, b + " more"), (3, ""), (4, "")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_dups.deduplicated(frame).collect()
+    assert sorted((r.doc_id or 0, r.text[:1]) for r in got) == [(0, "b"), (1, "a"), (3, ""), (4, "")]
+
+
 @pytest.fixture(scope="module")
 def ranks():
     lines = open(public_tokenizers.path(queries.BYTE_BPE)).read().split("\n")
