@@ -9,13 +9,16 @@ from helioframe.llm import (
     bpe,
     chat,
     decontam,
+    infill,
     licenses,
+    mixing,
     near_dups,
     placement,
     pseudonyms,
     quality_rules,
     rule_ensemble,
     token_counts,
+    variants,
 )
 from helioframe.llm.common import table
 
@@ -69,6 +72,18 @@ def op10_byte_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.digests(table(spark, d, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
+def op11_source_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, d: str) -> DataFrame:
+    return infill.digests(table(spark, d, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    return variants.document_variants(table(spark, d, "documents"))
+
+
 REGISTRY = {
     f.__name__: f
     for f in (
@@ -82,6 +97,9 @@ REGISTRY = {
         op8_token_counts,
         op9_license_scan,
         op10_byte_bpe,
+        op11_source_mix,
+        op12_fill_in_middle,
+        op13_spelling_variants,
     )
 }
 
@@ -134,4 +152,63 @@ SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(4 + length(head) + 2 + length(body) + 8) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op11_source_mix": r"""
+        WITH d AS (
+            SELECT doc_id, source, coalesce(text, '') AS t, text,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+            FROM documents),
+        k AS (
+            SELECT doc_id, source, size,
+                   -ln((CAST('0x' || substr(sha256('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || t), 1, 13) AS BIGINT)
+                        + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+                   / CASE WHEN t = '' THEN 0.1::DOUBLE ELSE greatest(0.1::DOUBLE,
+                       length(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]+', '', 'g'))::DOUBLE / length(t)) END AS key
+            FROM d),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
+        w AS (
+            SELECT *, source_size * 2.0::DOUBLE AS cap,
+                   [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+            FROM s),
+        o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS o FROM w),
+        l AS (
+            SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+                       - coalesce(sum(cap) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                      / sum(weight) OVER (ORDER BY o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM o),
+        f AS (SELECT min(o) AS first_open, arg_min(level, o) AS height FROM l WHERE level * weight <= cap),
+        t AS (SELECT source, source_size, CASE WHEN o >= first_open THEN height * weight ELSE cap END AS target
+              FROM l LEFT JOIN f ON true),
+        e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t),
+        r AS (SELECT *, CAST(floor(target) AS BIGINT) - epochs * source_size AS rest FROM e),
+        c AS (
+            SELECT doc_id, k.source, size, source_size, target, epochs, rest,
+                   sum(size) OVER (PARTITION BY k.source ORDER BY key, size ROWS UNBOUNDED PRECEDING) - size AS before
+            FROM k JOIN r ON k.source IS NOT DISTINCT FROM r.source)
+        SELECT doc_id, source, size, source_size, target,
+               CAST(epochs * size + greatest(least(size, rest - before), 0) AS BIGINT) AS taken
+        FROM c""",
+    "op12_fill_in_middle": r"""
+        WITH h AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS g FROM documents),
+        u AS (
+            SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w,
+                   CAST('0x' || substr(g, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(g, 9, 8) AS BIGINT) AS h2,
+                   CAST('0x' || substr(g, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(g, 25, 8) AS BIGINT) AS h4
+            FROM h),
+        c AS (
+            SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a,
+                   greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS b,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM u),
+        p AS (
+            SELECT *, coalesce(array_to_string(w[1:a], ''), '') AS x, coalesce(array_to_string(w[a + 1:b], ''), '') AS y,
+                   coalesce(array_to_string(w[b + 1:n], ''), '') AS z
+            FROM c)
+        SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+               CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(y) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y
+                      ELSE '<P>' || x || '<S>' || z || '<M>' || y END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p""",
 }
