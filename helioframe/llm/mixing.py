@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from helioframe.llm.common import written
 
 #: Bins of one histogram, and rows of one source that may be ordered in one group.
-BINS, FEW = 1024, 50_000
+BINS, FEW = 1024, 2_000
 #: Sources up to which the table of cuts (one row a source) is broadcast.
 FEW_SOURCES = 100_000
 LEAST_WEIGHT = 0.1
