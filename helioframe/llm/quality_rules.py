@@ -13,8 +13,8 @@ gets no cutoff. As the ladder ends with the first failure, a rule that rejects t
 The labels enter as one count per stratum and step: a grid of fixed size, which is all that reaches the driver.
 
 Defined cases: null texts have zero words and fail the base rule; a null or unnamed language belongs to the stratum
-``other``; null labels and labels of unknown documents are not used; several labels of one document count as bad if one
-of them is 0; without labels no cutoff is chosen and the base rule alone decides; repeated rows each get a row.
+``other``; null labels and labels of unknown documents are not used; several labels of one document, or of documents
+with the same text in a stratum, are one draw, bad if one of them is 0; without labels no cutoff is chosen and the base rule alone decides; repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helioframe.llm.common import spare_name
+from helioframe.llm.common import spare_name, written
 from helioframe.llm.text_stats import derived, text_stats
 
 STRATA = ("en", "fr", "de", "es")
@@ -99,19 +99,30 @@ def base_failed(s: str) -> Column:
     return (n < 50) | (100 * F.col(f"{s}.n_repeat_words") > 50 * n)
 
 
-def labelled_stats(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
-    """The statistics of the labelled documents that pass the base rule. Statistics join the labels, so no text travels."""
-    known = docs.select(F.col(doc_id).alias("doc_id"), stratum(lang).alias("stratum"), text_stats(F.col(text).cast("string")).alias("s"))
-    rows = known.where(~base_failed("s")).select("doc_id", "stratum", *(c.alias(n) for n, c in derived("s").items() if n in GRID))
-    return rows.join(one_label(labels), "doc_id").drop("doc_id")
+def measured(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
+    """What the labels need of every document: id, stratum, a hash of the text and its statistics ``s``."""
+    said = F.col(text).cast("string")
+    return docs.select(
+        F.col(doc_id).alias("doc_id"), stratum(lang).alias("stratum"), F.xxhash64(said).alias("mark"), text_stats(said).alias("s")
+    )
 
 
-def judged(docs: DataFrame, labels: DataFrame, into: str, doc_id="doc_id", text="text", lang="lang", **how) -> DataFrame:
-    """``docs`` with a struct ``into``: the base statistics, base_failed, kept, the stratum and the cutoffs that it got
-    (null for none)."""
-    cutoffs = choose_cutoffs(labelled_stats(docs, labels, doc_id, text, lang), **how)
-    s, g = spare_name(docs, "_stats"), spare_name(docs, "_stratum")
-    rows = docs.withColumn(s, text_stats(F.col(text).cast("string"))).withColumn(g, stratum(lang))
+def labelled_stats(measures: DataFrame, labels: DataFrame) -> DataFrame:
+    """The statistics of the labelled texts that pass the base rule, each text once.
+
+    Repeated rows and copies under other ids are one draw of the holdout, bad if one of their labels is: otherwise one
+    good text in many copies would pass for as many independent draws. Statistics join the labels, so no text travels.
+    """
+    rows = measures.where(~base_failed("s")).select(
+        "doc_id", "stratum", "mark", *(c.alias(n) for n, c in derived("s").items() if n in GRID)
+    )
+    draws = rows.join(one_label(labels), "doc_id").groupBy("stratum", "mark")
+    return draws.agg(F.min("label").alias("label"), *(F.first(n).alias(n) for n in GRID)).drop("mark")
+
+
+def verdict(cutoffs: dict[str, dict[str, float]], s: str, g: str) -> Column:
+    """Base statistics, base_failed, kept, the stratum and the cutoffs that it got (null for none), from the statistics
+    ``s`` and the stratum ``g``."""
     ratios = derived(s)
     keep = F.lit(True)
     said = F.lit(None).cast("string")
@@ -125,12 +136,23 @@ def judged(docs: DataFrame, labels: DataFrame, into: str, doc_id="doc_id", text=
     fields = [F.col(f"{s}.{n}").alias(n) for n in base]
     failed = base_failed(s)
     fields += [failed.alias("base_failed"), (~failed & keep).alias("kept"), F.col(g).alias("stratum"), said.alias("cutoffs")]
-    return rows.withColumn(into, F.struct(*fields)).drop(s, g)
+    return F.struct(*fields)
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
-    q = spare_name(docs, "_quality")
-    return judged(docs, labels, q, doc_id, **how).select(F.col(doc_id).alias("doc_id"), f"{q}.*")
+def judged(docs: DataFrame, labels: DataFrame, into: str, doc_id="doc_id", text="text", lang="lang", **how) -> DataFrame:
+    """``docs`` with a struct ``into``, the ``verdict`` on each. Texts are read twice, for the cutoffs and for the
+    verdicts, and never shuffled."""
+    cutoffs = choose_cutoffs(labelled_stats(measured(docs, doc_id, text, lang), labels), **how)
+    s, g = spare_name(docs, "_stats"), spare_name(docs, "_stratum")
+    rows = docs.withColumn(s, text_stats(F.col(text).cast("string"))).withColumn(g, stratum(lang))
+    return rows.withColumn(into, verdict(cutoffs, s, g)).drop(s, g)
+
+
+def quality_verdicts(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text="text", lang="lang", **how) -> DataFrame:
+    """The ``verdict`` on every document, without the text; the statistics are written once for cutoffs and verdicts."""
+    measures = written(measured(docs, doc_id, text, lang))
+    cutoffs = choose_cutoffs(labelled_stats(measures, labels), **how)
+    return measures.select("doc_id", verdict(cutoffs, "s", "stratum").alias("q")).select("doc_id", "q.*")
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
