@@ -22,14 +22,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helioframe.llm.common import Remembered, held_by_worker
+
 ENCODED = "struct<ids:array<int>,decoded:binary>"
 ENCODED_ARROW = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 DIGEST = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 DIGEST_ARROW = pa.struct(
     [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 )
-#: Pieces whose tokens a worker remembers, and pairs of tokens; then it forgets them and starts anew.
-REMEMBERED, REMEMBERED_PAIRS = 400_000, 500_000
+#: Pieces whose tokens a worker remembers, and pairs of tokens, in each of two generations.
+REMEMBERED, REMEMBERED_PAIRS = 150_000, 75_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -72,8 +74,8 @@ class Vocabulary:
         self.finder.make_automaton()
         self._halves: dict[bytes, tuple[bytes, bytes] | None] = {}
         # Tokens that their own bytes do not encode to never appear in an encoding.
-        self.whole = _Remembered(lambda token: self.halves(token) != (), len(self.ranks))
-        self.stand = _Remembered(self._stand, REMEMBERED_PAIRS)
+        self.whole = Remembered(lambda token: self.halves(token) != (), len(self.ranks))
+        self.stand = Remembered(self._stand, REMEMBERED_PAIRS)
 
     def halves(self, token: bytes) -> tuple[bytes, bytes] | None:
         """What the last merge of ``token`` joins; None for a single byte."""
@@ -111,19 +113,6 @@ class Vocabulary:
                 until, right = born_right, self.halves(right)[0]
 
 
-class _Remembered(dict):
-    """Values of a function, each computed once while it is remembered."""
-
-    def __init__(self, compute, most: int):
-        self.compute, self.most = compute, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.compute(key)
-        return value
-
-
 class _Below(dict):
     """The ranks below a bound."""
 
@@ -199,44 +188,25 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.known.get(piece)
-        if ids is None:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            data, ranks = piece.encode(), self.vocabulary.ranks
-            if data in ranks:  # a match that is a token is that token, however its bytes would merge
-                ids = (ranks[data],)
-            else:
-                ids = tuple(ranks[t] for t in PrefixTable(self.vocabulary, data).tokens())
-            self.known[piece] = ids
-        return ids
+        self.known = Remembered(self._piece, REMEMBERED)
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        data, ranks = piece.encode(), self.vocabulary.ranks
+        if data in ranks:  # a match that is a token is that token, however its bytes would merge
+            return (ranks[data],)
+        return tuple(ranks[t] for t in PrefixTable(self.vocabulary, data).tokens())
 
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
-        known, more = self.known, self.piece
+        known = self.known
         for piece in self.split(text):
-            out += known.get(piece) or more(piece)
+            out += known[piece]
         return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.tokens.__getitem__, ids))
 
 
-#: The encoder of this Python worker, which Spark uses for one task after another, by vocabulary and pattern.
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
-def _worker_encoder(ranks: dict[bytes, int], version: str, pattern: str) -> Encoder:
-    """An encoder that keeps what it remembers from task to task; only one at a time."""
-    if (version, pattern) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[version, pattern] = Encoder(ranks, pattern)
-    return _ENCODERS[version, pattern]
-
-
 def _coder(spark: SparkSession, ranks_path: str, pattern: str, digest: bool):
     ranks = read_ranks(spark, ranks_path)
     version = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
@@ -244,7 +214,7 @@ def _coder(spark: SparkSession, ranks_path: str, pattern: str, digest: bool):
 
     @F.arrow_udf(DIGEST if digest else ENCODED)
     def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _worker_encoder(shared.value, version, pattern)
+        encoder = held_by_worker(("bpe", version, pattern), lambda: Encoder(shared.value, pattern))
         names = [str(k) for k in range(max(encoder.vocabulary.tokens) + 1)]
         for batch in batches:
             out = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
+#: Rows of a written table that make a file of their own.
+ROWS_A_FILE = 10_000
+
+
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written to the cluster's shared checkpoint folder and read from there.
 
     The folder is the one that ``spark.checkpoint.dir`` names. A session that names none must set one with
-    ``SparkContext.setCheckpointDir``; there is no silent choice of a local folder.
+    ``SparkContext.setCheckpointDir``; there is no silent choice of a local folder. ``rows``, a bound of the number of
+    rows where it is known, keeps a small table out of as many files as the last shuffle had partitions.
     """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -31,6 +38,23 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_HELD: dict = {}
+
+
+def held_by_worker(key, build: Callable):
+    """What ``build`` makes, kept by this Python worker from task to task until it is asked for anything else. Spark uses
+    a worker for one stage after another, so a stage that needs nothing of the kind calls ``release_worker``."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def release_worker() -> None:
+    """Free what an earlier stage left in this Python worker."""
+    _HELD.clear()
+
+
 def spare_name(df: DataFrame, wish: str) -> str:
     """A column name that ``df`` does not have yet."""
     taken = {c.lower() for c in df.columns}
@@ -56,17 +80,35 @@ def pieces(texts: list, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, computed once while the word is remembered."""
+class Remembered(dict):
+    """Values of a function, each computed once while it is remembered.
+
+    There are two generations of at most ``most`` values. When the younger one is full it becomes the older one, from which
+    values that are still in use come back; what was not used for a whole generation is forgotten.
+    """
 
-    MOST = 1_000_000
+    def __init__(self, compute: Callable, most: int):
+        self.compute, self.most, self.older = compute, most, {}
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.MOST:
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
         return value
 
+
+class WordHashes(Remembered):
+    """64-bit hash of a word."""
+
+    MOST = 60_000
+
+    def __init__(self):
+        super().__init__(xxhash.xxh3_64_intdigest, self.MOST)
+
     def array(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helioframe.llm.common import as_bytes, pieces, spare_name, written
+from helioframe.llm.common import as_bytes, pieces, release_worker, spare_name, written
 
 WINDOW = 10
 #: Bytes of text in a shard, and words of benchmark text that are looked up together.
@@ -267,6 +267,7 @@ def finder(block, to_arrow: pa.DataType, sql_type: str | T.DataType, look, shard
 
     @F.arrow_udf(sql_type)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release_worker()
         test = TestSuffixes(*block.value)
         for batch in batches:
             texts = as_bytes(batch)
