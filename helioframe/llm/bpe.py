@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm.common import Remembered, held_by_worker
+from helioframe.llm.common import Remembered, held_by_worker, parts
 
 ENCODED = "struct<ids:array<int>,decoded:binary>"
 ENCODED_ARROW = pa.struct([("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
@@ -216,23 +216,21 @@ def _coder(spark: SparkSession, ranks_path: str, pattern: str, digest: bool):
     def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = held_by_worker(("bpe", version, pattern), lambda: Encoder(shared.value, pattern))
         names = [str(k) for k in range(max(encoder.vocabulary.tokens) + 1)]
+        kind = DIGEST_ARROW if digest else ENCODED_ARROW
         for batch in batches:
-            out = []
-            for text in batch.to_pylist():
-                ids = encoder.encode(text or "")
-                data = encoder.decode(ids)
-                if digest:
-                    joined = ",".join(map(names.__getitem__, ids)).encode()
-                    out.append(
-                        {
-                            "n_tokens": len(ids),
-                            "ids_sha256": hashlib.sha256(joined).hexdigest(),
-                            "decoded_sha256": hashlib.sha256(data).hexdigest(),
-                        }
-                    )
-                else:
-                    out.append({"ids": ids, "decoded": data})
-            yield pa.array(out, DIGEST_ARROW if digest else ENCODED_ARROW)
+            for a, b in parts(batch):
+                yield pa.array([coded(encoder, text or "", names) for text in batch[a:b].to_pylist()], kind)
+
+    def coded(encoder: Encoder, text: str, names: list[str]) -> dict:
+        ids = encoder.encode(text)
+        data = encoder.decode(ids)
+        if not digest:
+            return {"ids": ids, "decoded": data}
+        return {
+            "n_tokens": len(ids),
+            "ids_sha256": hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(),
+            "decoded_sha256": hashlib.sha256(data).hexdigest(),
+        }
 
     return code
 

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a written table that make a file of their own.
-ROWS_A_FILE = 10_000
+#: A table known to have no more rows than this is dealt to files of ``ROWS_A_FILE`` rows before it is written.
+FEW_ROWS, ROWS_A_FILE = 200_000, 10_000
 
 
 def written(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -25,10 +26,11 @@ def written(df: DataFrame, rows: int | None = None) -> DataFrame:
 
     The folder is the one that ``spark.checkpoint.dir`` names. A session that names none must set one with
     ``SparkContext.setCheckpointDir``; there is no silent choice of a local folder. ``rows``, a bound of the number of
-    rows where it is known, keeps a small table out of as many files as the last shuffle had partitions.
+    rows where it is known, keeps a small table out of as many files as the last shuffle had partitions. (It is dealt
+    out anew: with ``coalesce`` one task would hold the sort buffers of all partitions that it takes over.)
     """
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+    if rows is not None and rows <= FEW_ROWS:
+        df = df.repartition(max(1, -(-rows // ROWS_A_FILE)))
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -80,6 +82,16 @@ def pieces(texts: list, most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+#: Bytes of text that a Python worker turns into objects at once. Results may come in smaller batches than the input.
+AT_ONCE = 2 << 20
+
+
+def parts(texts: pa.Array, most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
+    """Ranges of an Arrow batch of at most ``most`` bytes of text together, or of one text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    return pieces([range(n) for n in sizes], most)
+
+
 class Remembered(dict):
     """Values of a function, each computed once while it is remembered.
 

@@ -21,12 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helioframe.llm.common import pieces, spare_name
+from helioframe.llm.common import parts, spare_name
 
 MARKERS = ("<P>", "<S>", "<M>")
 #: Bytes of text that one wavelet matrix covers; a longer text has one of its own.
@@ -154,13 +153,11 @@ def _cut(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         raw = texts.cast(pa.binary())
         draws = [d.to_numpy(zero_copy_only=False).astype(np.int64) for d in (first, second)]
         flags = [f.to_numpy(zero_copy_only=False) for f in (plain, suffix_first)]
-        sizes = pc.binary_length(raw).to_pylist()
-        parts = []
-        for a, b in pieces([range(s) for s in sizes], BLOCK):
-            data = np.frombuffer(b"".join(raw[a:b].to_pylist()), np.uint8)
-            ends = np.cumsum([0, *sizes[a:b]], dtype=np.int64)
-            parts.append(_cut_block(data, ends, [d[a:b] for d in draws], *(f[a:b] for f in flags)))
-        yield pa.concat_arrays(parts) if parts else pa.array([], CUT_ARROW)
+        for a, b in parts(raw, BLOCK):
+            block = raw[a:b].to_pylist()
+            ends = np.cumsum([0, *map(len, block)], dtype=np.int64)
+            data = np.frombuffer(b"".join(block), np.uint8)
+            yield _cut_block(data, ends, [d[a:b] for d in draws], *(f[a:b] for f in flags))
 
 
 def draws(doc_id: str, seed: str = "1") -> list[Column]:

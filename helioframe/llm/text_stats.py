@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from helioframe.llm.common import as_bytes, release_worker
+from helioframe.llm.common import as_bytes, parts, release_worker
 
 BLANKS = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 SYMBOLS = tuple(bytes([c]) for c in b"#*$%&|<>")
@@ -77,9 +77,9 @@ def stats_of(text: bytes) -> tuple[int, ...]:
 def text_stats(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     release_worker()
     for batch in batches:
-        rows = [stats_of(t) for t in as_bytes(batch)]
-        columns = list(zip(*rows, strict=True)) or [[] for _ in NAMES]
-        yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(ARROW))
+        for a, b in parts(batch):
+            columns = zip(*(stats_of(t) for t in as_bytes(batch[a:b])), strict=True)
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(ARROW))
 
 
 def ratio(a, b, scale: float = 1.0):
