@@ -28,7 +28,9 @@ def _sql(final: str) -> str:
     need(final)
     if not ordered:
         return final
-    return "WITH " + ",\n".join(f"{n} AS ({_CTE[n]})" for n in ordered) + "\n" + final
+    # Features and fits are read more than once; computed anew each time they take minutes.
+    kept = {n: " MATERIALIZED" if n == "y_features" or n.startswith(("b_", "m_")) else "" for n in ordered}
+    return "WITH " + ",\n".join(f"{n} AS{kept[n]} ({_CTE[n]})" for n in ordered) + "\n" + final
 
 
 def _split(ts: str, bounds: tuple[str, str, str, str]) -> str:
@@ -579,6 +581,11 @@ SELECT o_orderkey, o_orderdate AS ts, {_split("o_orderdate", YEARS)} AS split FR
 SELECT series_id, {_split("ts", YEARS)} AS split, count(*) AS n FROM f_orders
 WHERE {_split("ts", YEARS)} IS NOT NULL GROUP BY 1, 2""",
     "holdout_tail": """
+SELECT series_id, ts, generation, ts >= cut AS holdout FROM f_readings,
+  (SELECT min(ts) AS cut FROM (SELECT ts, row_number() OVER (ORDER BY ts DESC) AS k, count(*) OVER () AS n
+   FROM f_readings WHERE generation IS NOT NULL) WHERE k <= greatest(1, floor(n * 0.1::DOUBLE)))
+WHERE generation IS NOT NULL""",
+    "holdout_tail_by_series": """
 SELECT series_id, ts, generation, row_number() OVER (PARTITION BY series_id ORDER BY ts DESC)
   <= greatest(1, floor(count(*) OVER (PARTITION BY series_id) * 0.1::DOUBLE)) AS holdout
 FROM f_readings WHERE generation IS NOT NULL""",
@@ -610,7 +617,7 @@ FROM m_scores s JOIN (SELECT * FROM m_scores WHERE model = 'persistence') b USIN
 SELECT s.model, round(s.rmse, 6) AS val_rmse, round(s.mae, 6) AS val_mae,
   round(1 - s.rmse / nullif(b.rmse, 0), 6) AS skill, s.n
 FROM m_scores s JOIN (SELECT * FROM m_scores WHERE model = 'persistence') b USING (split)
-WHERE split = 'val' AND s.model <> 'linear_physics'""",
+WHERE split = 'val'""",
     # What a check of the given table files has to find, by the manifest's digests of four of them.
     "file_integrity": """
 SELECT file || '.parquet' AS file, algo, status FROM (VALUES

@@ -23,6 +23,7 @@ from helioframe.operators import clean, gaps, grid, lags, physics, quality, scor
 from helioframe.plans import compare
 from helioframe.plans.dataset import build_dataset, build_features, clean_readings
 from helioframe.schema import CALENDAR_COLUMNS, LAG_FEATURES, PHYSICS_COLUMNS
+from helioframe.session import stored
 from helioframe.sources.integrity import verify_files
 from helioframe.sources.run_store import results_summary
 
@@ -31,8 +32,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 START, END = si.JANUARY.overlap_start, si.JANUARY.overlap_end
 # Short spans, so that the month of event data crosses several span borders.
 SPAN = 240
-# Boosting rounds of the registered tree queries; the forecaster's default is 1,000.
-TREES = {"n_estimators": 10, "max_depth": 4, "early_stopping_rounds": 5}
 
 
 def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
@@ -375,6 +374,11 @@ def holdout_tail(spark: SparkSession, d: str) -> DataFrame:
     return splits.mark_holdout(feed, "generation", span_hours=SPAN)
 
 
+def holdout_tail_by_series(spark: SparkSession, d: str) -> DataFrame:
+    feed = si.readings(spark, d).select("series_id", "ts", "generation")
+    return splits.mark_holdout(feed, "generation", span_hours=SPAN, per_series=True)
+
+
 # --- forecasters ---------------------------------------------------------------------------
 
 
@@ -399,7 +403,7 @@ def climatology(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fitted(model: Forecaster, spark: SparkSession, d: str) -> DataFrame:
-    table = _year_features(spark, d)
+    table = stored(_year_features(spark, d))
     model.fit(table.where("split = 'train'"))
     return model.transform(table).select(
         "series_id", "ts", "split", F.round("pred", 6).alias("pred")
@@ -421,11 +425,11 @@ def pure_physics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boosted_trees(spark: SparkSession, d: str) -> DataFrame:
-    return _fitted(BoostedTrees(feature_cols=LAG_FEATURES, **TREES), spark, d)
+    return _fitted(BoostedTrees(feature_cols=LAG_FEATURES), spark, d)
 
 
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
-    model = BoostedTrees(feature_cols=LAG_FEATURES, **TREES)
+    model = BoostedTrees(feature_cols=LAG_FEATURES)
     model.fit(_year_features(spark, d).where("split = 'train'"))
     rows = list(model.feature_importance.items())
     ranked = spark.createDataFrame(rows, "feature string, importance double")
@@ -467,15 +471,14 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_results(spark: SparkSession, d: str) -> DataFrame:
-    """Summary of a run of the five forecasters whose fit has a closed form."""
-    models = [m for m in compare.baseline_models(si.YEARS_SPLIT) if m.name != "linear_physics"]
-    summary = results_summary(_compared(models, spark, d).metrics("run"))
+    """Summary of a run of the six forecasters without trees."""
+    summary = results_summary(_compared(compare.baseline_models(si.YEARS_SPLIT), spark, d).metrics("run"))
     return _rounded(summary, 6, "val_rmse", "val_mae", "skill")
 
 
 def model_comparison_trees(spark: SparkSession, d: str) -> DataFrame:
     """Scores of all nine forecasters."""
-    return _compared(compare.default_models(si.YEARS_SPLIT, **TREES), spark, d).scores
+    return _compared(compare.default_models(si.YEARS_SPLIT), spark, d).scores
 
 
 # --- files ---------------------------------------------------------------------------------
@@ -546,6 +549,7 @@ REGISTRY: dict[str, Query] = {
     "split_label": split_label,
     "split_counts": split_counts,
     "holdout_tail": holdout_tail,
+    "holdout_tail_by_series": holdout_tail_by_series,
     "persistence": persistence,
     "seasonal_naive": seasonal_naive,
     "climatology": climatology,

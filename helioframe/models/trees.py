@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,13 +45,54 @@ def best_prefix(errors: Sequence[float], patience: int) -> int:
     return at + 1
 
 
+def exhausted(errors: Sequence[float], patience: int) -> bool:
+    """Whether the error has not fallen below its lowest value for ``patience`` rounds."""
+    return bool(errors) and len(errors) - best_prefix(errors, patience) >= patience
+
+
+@dataclass(frozen=True)
+class Ensemble:
+    """Trees in the order in which they were grown; each adds ``rate`` times its prediction to ``start``."""
+
+    start: float
+    rate: float
+    trees: tuple[RandomForestRegressionModel, ...]
+
+    @property
+    def getNumTrees(self) -> int:  # noqa: N802, the name that the library's ensembles have
+        return len(self.trees)
+
+    @property
+    def treeWeights(self) -> list[float]:  # noqa: N802
+        return [self.rate] * len(self.trees)
+
+    def first(self, rounds: int) -> Ensemble:
+        return Ensemble(self.start, self.rate, self.trees[:rounds])
+
+    def predicted(self, df: DataFrame, output: str, features: str = "__x", at_once: int = 25) -> DataFrame:
+        """``df`` with the sum of the trees; its plan holds the columns of a few trees at a time."""
+        df = df.withColumn(output, F.lit(self.start))
+        for first in range(0, len(self.trees), at_once):
+            some = self.trees[first : first + at_once]
+            names = [f"__t{i}" for i in range(len(some))]
+            for tree, name in zip(some, names, strict=True):
+                df = tree.copy({tree.featuresCol: features, tree.predictionCol: name}).transform(df)
+            total = reduce(lambda a, b: a + b, map(F.col, names))
+            df = df.withColumn(output, F.col(output) + self.rate * total).drop(*names)
+        return df
+
+
 class BoostedTrees(Forecaster):
     """Boosted regression trees with early stopping on the chronological tail.
 
+    Trees are grown one after the other on what the ones before leave over, in blocks of ``block_rounds``. After a block
+    the predictions so far are written to the checkpoint folder, which keeps the plan short and a lost executor cheap,
+    and one aggregate gives the hold-out error after each of its rounds. Growing ends as soon as the error has not
+    fallen for ``early_stopping_rounds``, and the trees up to the lowest error are kept.
+
     Rows without a target are left out of training; missing features are kept, marked by a
     value below the feature's range and by a flag of their own, so every row is predicted.
-    MLlib grows trees level by level from distributed histograms; its first tree has weight
-    1, so fewer rounds are needed than with a shrunken first tree.
+    Each tree is grown level by level from distributed histograms on a sample of the rows.
     """
 
     name = "boosted_trees"
@@ -68,6 +110,7 @@ class BoostedTrees(Forecaster):
         seed: int = 42,
         holdout_fraction: float = 0.1,
         max_bins: int = 256,
+        block_rounds: int = 10,
         axis: Axis = TALL,
         name: str | None = None,
     ):
@@ -82,9 +125,12 @@ class BoostedTrees(Forecaster):
         self.seed = seed
         self.holdout_fraction = holdout_fraction
         self.max_bins = max_bins
+        self.block_rounds = block_rounds
         self.name = name or self.name
-        self.model: GBTRegressionModel | None = None
+        self.model: Ensemble | None = None
         self.rounds: int | None = None
+        #: Mean squared error on the held-out tail after each round that was grown.
+        self.errors: list[float] = []
 
     def params(self) -> dict[str, Any]:
         return {
@@ -111,38 +157,51 @@ class BoostedTrees(Forecaster):
             raise ValueError(f"{self.name} needs feature_cols")
         ensure_checkpoint_dir(df.sparkSession)
         columns = [*self.axis.columns, self.target, *self.feature_cols]
-        marked = mark_holdout(
-            df.select(*dict.fromkeys(columns)),
-            self.target,
-            self.holdout_fraction,
-            self.axis,
-            "__holdout",
-        )
-        rows = self._assemble(marked).select("__x", self.target, "__holdout")
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            grown = GBTRegressor(
+        # Read once; the cut-off and every round work on these rows.
+        given = df.select(*dict.fromkeys(columns)).checkpoint()
+        marked = mark_holdout(given, self.target, self.holdout_fraction, self.axis, "__holdout")
+        rows = self._assemble(marked).select("__x", F.col(self.target).cast("double").alias("__y"), "__holdout")
+        start = rows.where("NOT __holdout").agg(F.avg("__y")).first()[0]
+        if start is None:
+            raise ValueError(f"{self.name} needs rows with a target before the held-out tail")
+        rows, trees, self.errors = rows.withColumn("__sum", F.lit(start)), [], []
+        while len(trees) < self.n_estimators and not exhausted(self.errors, self.early_stopping_rounds):
+            rows, grown = self._grow(rows, len(trees), min(self.block_rounds, self.n_estimators - len(trees)))
+            trees += grown
+            rounds = [f"__sum{i}" for i in range(len(grown))]
+            wrong = [F.avg((F.col("__y") - F.col(c)) ** 2) for c in rounds]
+            self.errors += list(rows.where("__holdout").agg(*wrong).first())
+            rows = rows.drop(*rounds)
+        self.rounds = best_prefix(self.errors, self.early_stopping_rounds)
+        self.model = Ensemble(start, self.learning_rate, tuple(trees)).first(self.rounds)
+        return self
+
+    def _grow(self, rows: DataFrame, grown: int, rounds: int) -> tuple[DataFrame, list[RandomForestRegressionModel]]:
+        """``rounds`` more trees, and the written rows with the sum after each of them."""
+        share = "all" if self.feature_fraction >= 1 else str(self.feature_fraction)
+        trees = []
+        for i in range(rounds):
+            left = rows.where("NOT __holdout").select("__x", (F.col("__y") - F.col("__sum")).alias("__left"))
+            # A forest of one tree: the library's way to sample rows and columns for a single tree.
+            tree = RandomForestRegressor(
                 featuresCol="__x",
-                labelCol=self.target,
-                maxIter=self.n_estimators,
-                stepSize=self.learning_rate,
+                labelCol="__left",
+                predictionCol="__tree",
+                numTrees=1,
+                bootstrap=False,
                 maxDepth=self.max_depth,
                 subsamplingRate=self.subsample,
-                featureSubsetStrategy=str(self.feature_fraction),
+                featureSubsetStrategy=share,
                 maxBins=self.max_bins,
-                seed=self.seed,
-            ).fit(rows.where("NOT __holdout"))
-            errors = grown.evaluateEachIteration(rows.where("__holdout"), "squared")
-        finally:
-            rows.unpersist()
-        self.rounds = best_prefix(errors, self.early_stopping_rounds)
-        self.model = _first_rounds(grown, self.rounds)
-        return self
+                seed=self.seed + grown + i,
+            ).fit(left)
+            trees.append(tree)
+            reached = F.col("__sum") + self.learning_rate * F.col("__tree")
+            rows = tree.transform(rows).withColumn(f"__sum{i}", reached).withColumn("__sum", F.col(f"__sum{i}")).drop("__tree")
+        return rows.checkpoint(), trees
 
     def transform(self, df: DataFrame, output: str = "pred") -> DataFrame:
-        model = self._require(self.model).copy()
-        model.setFeaturesCol("__x").setPredictionCol("__y")
-        predicted = model.transform(self._assemble(df))
+        predicted = self._require(self.model).predicted(self._assemble(df), "__y")
         return predicted.withColumn(output, unit_interval(F.col("__y"))).drop("__x", "__y")
 
     @property
@@ -151,29 +210,12 @@ class BoostedTrees(Forecaster):
         if self.model is None:
             return None
         flagged = self._flagged()
-        values = list(self.model.featureImportances.toArray())
-        # A shortened ensemble reports features only up to the last one it uses.
-        values += [0.0] * (len(self.feature_cols) + len(flagged) - len(values))
+        values = [0.0] * (len(self.feature_cols) + len(flagged))
+        for tree in self.model.trees:
+            for i, v in zip(tree.featureImportances.indices, tree.featureImportances.values, strict=True):
+                values[int(i)] += float(v)
+        total = sum(values) or 1.0
         gain = dict(zip(self.feature_cols, values, strict=False))
         for c, v in zip(flagged, values[len(self.feature_cols) :], strict=True):
             gain[c] += v
-        return dict(sorted(((k, float(v)) for k, v in gain.items()), key=lambda kv: -kv[1]))
-
-
-def _first_rounds(grown: GBTRegressionModel, rounds: int) -> GBTRegressionModel:
-    """The ensemble cut after ``rounds`` trees, without growing it a second time."""
-    if rounds >= grown.getNumTrees:
-        return grown
-    from pyspark import SparkContext
-
-    context = SparkContext._active_spark_context
-    regression = context._jvm.org.apache.spark.ml.regression
-    trees = context._gateway.new_array(regression.DecisionTreeRegressionModel, rounds)
-    weights = context._gateway.new_array(context._jvm.double, rounds)
-    for i, (tree, weight) in enumerate(
-        zip(grown.trees[:rounds], grown.treeWeights[:rounds], strict=True)
-    ):
-        trees[i] = tree._java_obj
-        weights[i] = float(weight)
-    java = regression.GBTRegressionModel(grown.uid, trees, weights)
-    return GBTRegressionModel(java)
+        return dict(sorted(((k, v / total) for k, v in gain.items()), key=lambda kv: -kv[1]))

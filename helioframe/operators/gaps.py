@@ -42,48 +42,78 @@ def gap_runs(
 ) -> DataFrame:
     """One row per run of missing hours: first and last hour, length, whether it is filled.
 
-    Runs are found inside spans and joined across span borders by a second pass over the
-    runs that touch a border, so a run may be as long as the series.
+    The input is read and shuffled once. Every span is reduced to a summary: its runs in order, and whether the first one
+    touches its start and the last one its end. Summaries of neighbouring spans are folded by windows that see one row
+    per span: a run that goes on is reported by the last span it reaches, with the start that was carried there.
+    A run may be as long as the series.
     """
     spans = Spans(axis, span_hours)
-    order = spans.window()
     missing = F.col(column).isNull()
     keys = list(axis.keys)
-    run = F.sum(F.when(missing, 0).otherwise(1)).over(order)
-    edges = spans.scatter(df).groupBy(*keys).agg(
-        F.min(HOUR).alias("__first"), F.max(HOUR).alias("__last")
-    )
-    pieces = (
+    # A known hour and the missing ones behind it are one block.
+    block = F.sum(F.when(missing, 0).otherwise(1)).over(spans.window())
+    summary = (
         spans.scatter(df)
-        .select(*keys, SPAN, HOUR, missing.alias("__missing"), run.alias("__run"))
-        .where("__missing")
-        .groupBy(*keys, SPAN, "__run")
-        .agg(F.min(HOUR).alias("__from"), F.max(HOUR).alias("__to"))
+        .select(*keys, SPAN, HOUR, missing.alias("__missing"), block.alias("__block"))
+        .groupBy(*keys, SPAN, "__block")
+        .agg(
+            F.min(HOUR).alias("__low"),
+            F.max(HOUR).alias("__high"),
+            F.min(F.when(F.col("__missing"), F.col(HOUR))).alias("__from"),
+        )
+        .groupBy(*keys, SPAN)
+        .agg(
+            F.min("__low").alias("__first"),
+            F.max("__high").alias("__last"),
+            F.sort_array(
+                F.collect_list(
+                    F.when(F.col("__from").isNotNull(), F.struct(F.col("__from").alias("a"), F.col("__high").alias("b")))
+                )
+            ).alias("__runs"),
+        )
+    )
+    series = Window.partitionBy(*keys)
+    order = series.orderBy(SPAN)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    runs = F.col("__runs")
+    head = F.coalesce(F.get(runs, 0)["a"] == F.col(SPAN) * span_hours, F.lit(False))
+    last_run = F.get(runs, F.size(runs) - 1)
+    tail = F.coalesce(last_run["b"] == (F.col(SPAN) + 1) * span_hours - 1, F.lit(False))
+    touched = summary.select(
+        "*",
+        head.alias("__head"),
+        tail.alias("__tail"),
+        F.min("__first").over(series).alias("__begin"),
+        F.max("__last").over(series).alias("__end"),
+    )
+    goes_on = F.col("__head") & F.lag("__tail").over(order) & (F.lag(SPAN).over(order) + 1 == F.col(SPAN))
+    will_go_on = F.col("__tail") & F.lead("__head").over(order) & (F.lead(SPAN).over(order) - 1 == F.col(SPAN))
+    chained = touched.select(
+        "*",
+        F.coalesce(goes_on, F.lit(False)).alias("__goes_on"),
+        F.coalesce(will_go_on, F.lit(False)).alias("__will_go_on"),
     )
-    # Pieces that touch are one run. At most two pieces per span can touch a border, so the
-    # ordered pass below sees border pieces only; inner pieces are complete already.
-    low = F.col("__from") == F.col(SPAN) * span_hours
-    high = F.col("__to") == (F.col(SPAN) + 1) * span_hours - 1
-    inner = pieces.where(~(low | high)).select(*keys, "__from", "__to")
-    border = pieces.where(low | high)
-    series = Window.partitionBy(*keys).orderBy("__from") if keys else Window.orderBy("__from")
-    fresh = F.coalesce(F.lag("__to").over(series) + 1 != F.col("__from"), F.lit(True))
-    joined = (
-        border.withColumn("__fresh", fresh.cast("int"))
-        .withColumn("__id", F.sum("__fresh").over(series))
-        .groupBy(*keys, "__id")
-        .agg(F.min("__from").alias("__from"), F.max("__to").alias("__to"))
-        .select(*keys, "__from", "__to")
+    # A span that is missing throughout only passes on the start that reached it.
+    passes = F.col("__goes_on") & F.col("__tail") & (F.size(runs) == 1)
+    started = F.when(F.col("__tail") & ~passes, last_run["a"])
+    carried = chained.withColumn("__carried", F.last(started, ignorenulls=True).over(before))
+    whole = F.transform(
+        runs,
+        lambda r, i: F.struct(
+            F.when(F.col("__goes_on") & (i == 0), F.col("__carried")).otherwise(r["a"]).alias("a"),
+            r["b"].alias("b"),
+            (F.col("__will_go_on") & (i == F.size(runs) - 1)).alias("open"),
+        ),
     )
-    runs = inner.unionByName(joined)
-    runs = runs.join(F.broadcast(edges), keys, "inner") if not keys else runs.join(edges, keys)
-    length = F.col("__to") - F.col("__from") + 1
-    inside = (F.col("__from") > F.col("__first")) & (F.col("__to") < F.col("__last"))
+    found = carried.select(*keys, "__begin", "__end", F.explode(F.filter(whole, lambda r: ~r["open"])).alias("__run"))
+    low, high = F.col("__run.a"), F.col("__run.b")
+    length = high - low + 1
+    inside = (low > F.col("__begin")) & (high < F.col("__end"))
     epoch = instant(EPOCH)
-    return runs.select(
+    return found.select(
         *keys,
-        plus_hours(epoch, F.col("__from")).alias("gap_start"),
-        plus_hours(epoch, F.col("__to")).alias("gap_end"),
+        plus_hours(epoch, low).alias("gap_start"),
+        plus_hours(epoch, high).alias("gap_end"),
         length.alias("gap_hours"),
         (inside & (length <= max_gap_hours)).alias("filled"),
     )

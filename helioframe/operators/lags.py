@@ -55,16 +55,33 @@ def add_lag_features(
 def add_lag_features_by_join(
     df: DataFrame, target: str, lags: Iterable[int] = DEFAULT_LAGS, axis: Axis = TALL
 ) -> DataFrame:
-    """The same columns by one equi-join per lag on the shifted timestamp.
+    """The same columns as an equi-join on the shifted timestamp, with one read and one shuffle for all lags.
 
-    Balanced for any series length because ``(keys, ts)`` is unique, at one join per lag.
+    Every row is stacked with a copy of its target per lag, moved to the hour that sees it, and all that meets at one
+    ``(keys, ts)`` is merged. That key is unique, so the groups are balanced whatever the length of a series.
     """
-    out = df
-    for k in lags:
-        past = df.select(
-            *axis.keys,
-            plus_hours(axis.ts, k).alias(axis.ts),
-            F.col(target).alias(lag_name(target, k)),
+    lags = list(lags)
+    if not lags:
+        return df
+    others = [c for c in df.columns if c not in axis.columns]
+    row = F.struct(*others)
+    kind = df.select(row.alias("row")).schema["row"].dataType
+    nothing = F.lit(None).cast(df.schema[target].dataType)
+
+    def entry(ts: Column, row: Column, k: int, value: Column) -> Column:
+        return F.struct(ts.alias("ts"), row.alias("row"), F.lit(k).alias("lag"), value.alias("value"))
+
+    stacked = [entry(F.col(axis.ts), row, 0, nothing)]
+    stacked += [entry(plus_hours(axis.ts, k), F.lit(None).cast(kind), k, F.col(target)) for k in lags]
+    merged = (
+        df.select(*axis.keys, F.explode(F.array(*stacked)).alias("__e"))
+        .groupBy(*axis.keys, F.col("__e.ts").alias(axis.ts))
+        .agg(
+            F.collect_list(F.when(F.col("__e.lag") == 0, F.col("__e.row"))).alias("__rows"),
+            *[F.max(F.when(F.col("__e.lag") == k, F.col("__e.value"))).alias(lag_name(target, k)) for k in lags],
         )
-        out = out.join(past, axis.columns, "left")
-    return out.select(*df.columns, *[lag_name(target, k) for k in lags])
+    )
+    names = [lag_name(target, k) for k in lags]
+    return merged.select(*axis.columns, F.explode("__rows").alias("__row"), *names).select(
+        *[F.col(c) if c in axis.columns else F.col(f"__row.{c}").alias(c) for c in df.columns], *names
+    )

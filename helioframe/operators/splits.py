@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helioframe.functions.exprs import as_column
-from helioframe.functions.timeaxis import end_of_period, instant
+from helioframe.functions.timeaxis import EPOCH, end_of_period, hours_since, instant
 from helioframe.operators.spans import HOUR, SPAN, Spans
 from helioframe.schema import TALL, Axis, Split
 
@@ -43,6 +45,38 @@ def split_dataset(
     )
 
 
+def tail_start(
+    df: DataFrame,
+    target: str,
+    fraction: float = 0.1,
+    axis: Axis = TALL,
+    span_hours: int = 1344,
+) -> datetime | None:
+    """The moment from which on the last ``fraction`` of all rows with a target lie (one row at least); None without rows.
+
+    An order statistic from counts: rows per moment, summed per span of hours, name the span that holds the cut, and
+    the counts inside this one span name the moment. Only counts are sorted, one span's and one per span.
+    """
+    moments = df.where(F.col(target).isNotNull()).groupBy(axis.ts).agg(F.count("*").alias("__n"))
+    moments = moments.withColumn(SPAN, F.floor(hours_since(axis.ts, EPOCH) / span_hours))
+    late = Window.orderBy(F.desc(SPAN))
+    total = F.sum("__n").over(late.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    spans = (
+        moments.groupBy(SPAN)
+        .agg(F.sum("__n").alias("__n"))
+        .select(
+            SPAN,
+            (F.sum("__n").over(late) - F.col("__n")).alias("__after"),
+            F.sum("__n").over(late).alias("__upto"),
+            F.greatest(F.lit(1), F.floor(total * fraction)).alias("__take"),
+        )
+    )
+    cut = spans.where("__after < __take AND __take <= __upto").select(SPAN, (F.col("__take") - F.col("__after")).alias("__need"))
+    reached = F.sum("__n").over(Window.orderBy(F.desc(axis.ts)))
+    inside = moments.join(cut, SPAN).withColumn("__reached", reached)
+    return inside.where("__reached >= __need").agg(F.max(axis.ts)).first()[0]
+
+
 def mark_holdout(
     df: DataFrame,
     target: str,
@@ -50,12 +84,24 @@ def mark_holdout(
     axis: Axis = TALL,
     output: str = "holdout",
     span_hours: int = 1344,
+    per_series: bool = False,
 ) -> DataFrame:
-    """Rows with a target, flagged where they belong to the last ``fraction`` of their series.
+    """Rows with a target, flagged where they belong to the last ``fraction`` by time.
 
-    At least one row per series is held out. Ranks are built from counts per span plus a
-    rank inside the span, so no series is ever sorted as a whole.
+    One cut-off holds for all series, so that no series is trained on hours at which another one is held out; rows of the
+    cut-off itself are held out together. With ``per_series`` each series has a tail of its own, of one row at least.
     """
+    if per_series:
+        return _mark_tails(df, target, fraction, axis, output, span_hours)
+    start = tail_start(df, target, fraction, axis, span_hours)
+    held = F.lit(False) if start is None else F.col(axis.ts) >= instant(start)
+    return df.where(F.col(target).isNotNull()).withColumn(output, held)
+
+
+def _mark_tails(
+    df: DataFrame, target: str, fraction: float, axis: Axis, output: str, span_hours: int
+) -> DataFrame:
+    """Ranks are built from counts per span plus a rank inside the span, so no series is ever sorted as a whole."""
     keys = list(axis.keys)
     spans = Spans(axis, span_hours)
     usable = spans.scatter(df.where(F.col(target).isNotNull()))

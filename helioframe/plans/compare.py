@@ -6,7 +6,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +35,7 @@ from helioframe.schema import (
     Axis,
     Split,
 )
+from helioframe.session import stored
 from helioframe.sources.run_store import append_run, describe_models, importance_rows, run_metrics
 
 SCORED_SPLITS = ("train", "val")
@@ -123,14 +123,14 @@ def compare_models(
 ) -> Comparison:
     """Fit on ``train``, score on ``train`` and ``val``; ``test`` rows are never read.
 
-    ``features`` carries a ``split`` label and the lag columns. It is cached because each
-    fitted model reads it; a lost cache block is recomputed from the sources.
+    ``features`` carries a ``split`` label and the lag columns. It is computed once and stored, because each
+    fitted model reads it.
     """
     names = [m.name for m in models]
     if len(set(names)) != len(names):
         raise ValueError(f"model names must be unique, got {names}")
     opened = features.where(F.col("split").isin(*SCORED_SPLITS))
-    cached = opened.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = stored(opened)
     train = cached.where(F.col("split") == "train")
     for model in models:
         model.fit(train)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "helioframe", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,3 +40,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(configured)
     return configured
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once and read again by whatever follows: written to the checkpoint folder where the session names
+    one, so that a lost executor costs nothing, else kept in memory and on disk."""
+    if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        ensure_checkpoint_dir(df.sparkSession)
+        return df.checkpoint()
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

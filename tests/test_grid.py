@@ -149,6 +149,32 @@ def test_fill_and_runs_agree_with_pandas(frame):
     df.unpersist()
 
 
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning"), plan.count("Scan ")
+
+
+def test_runs_and_lags_read_their_input_once(frame):
+    df = frame([("a", t, float(i) if i % 3 else None) for i, t in enumerate(hours("2018-01-01", 50))], VALUE)
+    for out, shuffles in ((gaps.gap_runs(df, "x"), 2), (add_lag_features_by_join(df, "x"), 1)):
+        assert _exchanges(out) == (shuffles, 1)
+
+
+def test_a_run_may_cross_many_spans(frame):
+    values = [None] * 30 + [1.0] + [None] * 100 + [2.0] * 24 + [None] * 24 + [3.0, None]
+    df = frame([("a", t, v) for t, v in zip(hours("2018-01-01", len(values)), values, strict=True)], VALUE)
+    for span in (1, 2, 5, 24, 1000):
+        runs = gaps.gap_runs(df, "x", span_hours=span).orderBy("gap_start").collect()
+        assert [(r["gap_hours"], r["filled"]) for r in runs] == [(30, False), (100, False), (24, False), (1, False)]
+
+
+def test_lags_by_merge_keep_repeated_rows(frame):
+    df = frame([("a", t, 1.0) for t in hours("2018-01-01", 3) for _ in range(2)], VALUE)
+    out = add_lag_features_by_join(df, "x", (1,)).collect()
+    assert len(out) == 6 and sorted(str(r["x_lag_1h"]) for r in out) == ["1.0"] * 4 + ["None"] * 2
+    assert add_lag_features_by_join(df, "x", ()).count() == 6
+
+
 def test_lags_are_exact_in_time(frame):
     df = frame([("a", t, float(i)) for i, t in enumerate(hours("2018-01-01", 200))], VALUE)
     for out in (

@@ -16,7 +16,7 @@ from helioframe.models.simple import (
     Persistence,
     PurePhysics,
 )
-from helioframe.models.trees import BoostedTrees, best_prefix
+from helioframe.models.trees import BoostedTrees, best_prefix, exhausted
 from helioframe.operators.physics import add_physics
 from helioframe.operators.splits import add_split
 from helioframe.plans.compare import baseline_models, compare_models, default_models, run_one
@@ -156,13 +156,40 @@ def test_boosted_trees_need_features(tree_rows):
 
 
 def test_early_stopping_keeps_the_leading_trees(tree_rows):
-    full = BoostedTrees(feature_cols=("f1", "f2"), n_estimators=6, max_depth=2, early_stopping_rounds=99)
+    full = BoostedTrees(
+        feature_cols=("f1", "f2"), n_estimators=7, max_depth=2, early_stopping_rounds=99, block_rounds=3,
+    )
     full.fit(tree_rows)
-    from helioframe.models.trees import _first_rounds
-
-    cut = _first_rounds(full.model, 2)
+    assert len(full.errors) == 7 and full.rounds == full.errors.index(min(full.errors)) + 1
+    one = BoostedTrees(
+        feature_cols=("f1", "f2"), n_estimators=7, max_depth=2, early_stopping_rounds=99, block_rounds=7,
+    ).fit(tree_rows)
+    # The size of a block changes when errors are looked at, not what is grown.
+    assert one.errors == pytest.approx(full.errors)
+    assert [t.toDebugString.split("\n", 1)[1] for t in one.model.trees] == [t.toDebugString.split("\n", 1)[1] for t in full.model.trees]
+    cut = full.model.first(2)
     assert cut.getNumTrees == 2 and cut.treeWeights == full.model.treeWeights[:2]
-    assert cut.trees[1].toDebugString == full.model.trees[1].toDebugString
+
+
+def test_growing_ends_when_the_error_stops_falling(tree_rows):
+    noise = tree_rows.withColumn("cf", F.when(F.xxhash64("ts") % 2 == 0, 0.0).otherwise(1.0))
+    model = BoostedTrees(
+        feature_cols=("f1", "f2"), n_estimators=200, learning_rate=0.9, early_stopping_rounds=4, block_rounds=2,
+    ).fit(noise)
+    assert len(model.errors) < 40 and len(model.errors) - model.rounds <= 4 + 2
+    assert exhausted([3, 2, 2, 2], 2) and not exhausted([3, 2, 2], 2) and not exhausted([], 2)
+
+
+def test_one_split_equals_a_fit_by_hand(frame):
+    """Stumps on a single two-valued feature: every round moves both sides by the rate towards their means."""
+    rows = [("a", t, float(i % 2), 0.8 if i % 2 else 0.2) for i, t in enumerate(hours("2018-01-01", 100))]
+    table = frame(rows, "series_id string, ts timestamp_ntz, f double, cf double")
+    model = BoostedTrees(
+        feature_cols=("f",), n_estimators=5, max_depth=1, learning_rate=0.5, subsample=1.0, feature_fraction=1.0,
+    ).fit(table)
+    out = {r["f"]: r["pred"] for r in model.transform(table).collect()}
+    assert model.rounds == 5 and out[1.0] == pytest.approx(0.8 - 0.3 / 32) and out[0.0] == pytest.approx(0.2 + 0.3 / 32)
+    assert model.errors == pytest.approx([(0.3 / 2**k) ** 2 for k in range(1, 6)])
 
 
 class Half(Forecaster):
