@@ -27,6 +27,9 @@ from helioframe.session import ensure_checkpoint_dir
 # Below the range of every feature, so a split can set missing values apart.
 _MISSING = -1.0e6
 
+# Training rows that make a partition of their own.
+ROWS_A_PART = 20_000
+
 FEATURE_SETS = {
     "boosted_weather": WEATHER_FEATURES,
     "boosted_physics": PHYSICS_FEATURES,
@@ -157,8 +160,12 @@ class BoostedTrees(Forecaster):
             raise ValueError(f"{self.name} needs feature_cols")
         ensure_checkpoint_dir(df.sparkSession)
         columns = [*self.axis.columns, self.target, *self.feature_cols]
-        # Read once; the cut-off and every round work on these rows.
-        given = df.select(*dict.fromkeys(columns)).checkpoint()
+        # Read once; the cut-off and every round work on these rows. A round has a job per level, so that rows in more
+        # partitions than their number asks for would cost most of its time.
+        given = df.where(F.col(self.target).isNotNull()).select(*dict.fromkeys(columns)).checkpoint()
+        some = -(-given.count() // ROWS_A_PART) or 1
+        if some < given.rdd.getNumPartitions():
+            given = given.repartition(some).checkpoint()
         marked = mark_holdout(given, self.target, self.holdout_fraction, self.axis, "__holdout")
         rows = self._assemble(marked).select("__x", F.col(self.target).cast("double").alias("__y"), "__holdout")
         start = rows.where("NOT __holdout").agg(F.avg("__y")).first()[0]
