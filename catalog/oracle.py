@@ -419,16 +419,26 @@ def _round(digits: int, *names: str) -> str:
     return ", ".join(f"round({n}, {digits}) + 0.0::DOUBLE AS {n}" for n in names)
 
 
-def _completeness(feeds: dict[str, tuple[str, tuple[str, ...]]]) -> str:
+def _completeness(feeds: dict[str, tuple[str, tuple[str, ...]]], by: str = "") -> str:
+    key, grouped = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
     return " UNION ALL ".join(
-        f"SELECT '{label}' AS source, '{c}' AS \"column\", "
-        f"round_even(100.0::DOUBLE * count({c}) / count(*), 2) AS present_pct FROM {feed}"
+        f"SELECT {key}'{label}' AS source, '{c}' AS \"column\", "
+        f"round_even(100.0::DOUBLE * count({c}) / count(*), 2) AS present_pct FROM {feed}{grouped}"
         for label, (feed, columns) in feeds.items()
         for c in columns
     )
 
 
 _CORR = "covar_pop(generation, ghi) / nullif(stddev_pop(generation) * stddev_pop(ghi), 0)"
+_FEEDS = {
+    "time_series": ("f_orders", ("generation", "capacity", "load")),
+    "weather": ("f_items", ("temperature", "direct", "diffuse")),
+}
+_HEAT = ", ".join(
+    f"round(avg(CASE WHEN month(ts) = {m} THEN CASE WHEN generation IS NULL THEN 1.0::DOUBLE "
+    f"ELSE 0.0::DOUBLE END END), 6) AS m{m:02d}"
+    for m in range(1, 13)
+)
 _COVERAGE = """
 SELECT 'time_series' AS source, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_rows
 FROM f_orders
@@ -457,23 +467,30 @@ SELECT max(start_ts) AS overlap_start, min(end_ts) AS overlap_end,
   CAST(date_sub('hour', max(start_ts), min(end_ts)) + 1 AS BIGINT) AS overlap_hours,
   (date_sub('hour', max(start_ts), min(end_ts)) + 1) / 8760.0::DOUBLE AS overlap_years
 FROM ({_COVERAGE})""",
-    "column_completeness": _completeness(
-        {
-            "time_series": ("f_orders", ("generation", "capacity", "load")),
-            "weather": ("f_items", ("temperature", "direct", "diffuse")),
-        }
-    ),
+    "column_completeness": _completeness(_FEEDS),
+    "column_completeness_by_series": _completeness(_FEEDS, "series_id"),
+    "profile_completeness": _completeness(_FEEDS, "series_id"),
+    "coverage_by_series": """
+SELECT 'time_series' AS source, series_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_rows
+FROM f_orders GROUP BY series_id
+UNION ALL SELECT 'weather', series_id, min(ts), max(ts), count(*) FROM f_items GROUP BY series_id""",
+    "completeness_by_series_year": """
+SELECT series_id, CAST(year(ts) AS INTEGER) AS year,
+  round_even(100.0::DOUBLE * count(generation) / count(*), 2) AS present_pct
+FROM f_orders GROUP BY 1, 2""",
+    "missing_heatmap_by_series": f"SELECT series_id, CAST(year(ts) AS INTEGER) AS year, {_HEAT} FROM f_orders GROUP BY 1, 2",
+    "anomaly_counts_by_series": f"""
+SELECT * FROM (SELECT series_id, count(*) FILTER (generation < 0) AS negative_generation,
+  round(100.0::DOUBLE * count(*) FILTER (generation < 0) / count(*), 6) AS negative_generation_pct,
+  count(*) FILTER (hour(ts) IN {NIGHT} AND generation > 1) AS night_generation FROM f_readings GROUP BY 1)
+FULL JOIN (SELECT series_id, count(*) FILTER (temperature < -30 OR temperature > 45) AS temperature_out_of_range,
+  count(*) FILTER (hour(ts) IN (22, 23, 0, 1, 2, 3) AND coalesce(direct, 0) + coalesce(diffuse, 0) > 1)
+    AS night_irradiance FROM f_weather GROUP BY 1) USING (series_id)""",
     "completeness_by_year": """
 SELECT CAST(year(ts) AS INTEGER) AS year,
   round_even(100.0::DOUBLE * count(generation) / count(*), 2) AS present_pct
 FROM f_orders GROUP BY 1""",
-    "missing_heatmap": "SELECT CAST(year(ts) AS INTEGER) AS year, "
-    + ", ".join(
-        f"round(avg(CASE WHEN month(ts) = {m} THEN CASE WHEN generation IS NULL THEN 1.0::DOUBLE "
-        f"ELSE 0.0::DOUBLE END END), 6) AS m{m:02d}"
-        for m in range(1, 13)
-    )
-    + " FROM f_orders GROUP BY 1",
+    "missing_heatmap": f"SELECT CAST(year(ts) AS INTEGER) AS year, {_HEAT} FROM f_orders GROUP BY 1",
     "anomaly_counts": f"""
 SELECT * FROM (SELECT count(*) FILTER (generation < 0) AS negative_generation,
   round(100.0::DOUBLE * count(*) FILTER (generation < 0) / count(*), 6) AS negative_generation_pct,
@@ -618,14 +635,14 @@ SELECT s.model, round(s.rmse, 6) AS val_rmse, round(s.mae, 6) AS val_mae,
   round(1 - s.rmse / nullif(b.rmse, 0), 6) AS skill, s.n
 FROM m_scores s JOIN (SELECT * FROM m_scores WHERE model = 'persistence') b USING (split)
 WHERE split = 'val'""",
-    # What a check of the given table files has to find, by the manifest's digests of four of them.
+    # What a check of the given table files has to find.
     "file_integrity": """
 SELECT file || '.parquet' AS file, algo, status FROM (VALUES
-  ('orders', 'md5', 'verified'), ('lineitem', 'sha1', 'verified'), ('events', 'sha256', 'verified'),
-  ('supplier', 'md5', 'mismatch'), ('region', NULL, 'skipped'), ('nation', NULL, 'skipped'),
-  ('customer', NULL, 'skipped'), ('part', NULL, 'skipped'), ('documents', NULL, 'skipped'),
-  ('embeddings', NULL, 'skipped'), ('pages', NULL, 'skipped'), ('benchmark', NULL, 'skipped'),
-  ('labels', NULL, 'skipped'), ('conversations', NULL, 'skipped')) v(file, algo, status)""",
+  ('orders', 'md5', 'verified'), ('lineitem', 'sha1', 'verified'), ('supplier', 'md5', 'mismatch'),
+  ('nation', NULL, 'skipped'), ('events', 'sha256', 'verified'), ('region', 'sha256', 'verified'),
+  ('customer', 'sha256', 'verified'), ('part', 'sha256', 'verified'), ('documents', 'sha256', 'verified'),
+  ('embeddings', 'sha256', 'verified'), ('pages', 'sha256', 'verified'), ('benchmark', 'sha256', 'verified'),
+  ('labels', 'sha256', 'verified'), ('conversations', 'sha256', 'verified')) v(file, algo, status)""",
 }
 
 SQL: dict[str, str] = {name: _sql(text) for name, text in _STATEMENTS.items()}

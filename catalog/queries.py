@@ -22,10 +22,11 @@ from helioframe.models.trees import BoostedTrees
 from helioframe.operators import clean, gaps, grid, lags, physics, quality, scoring, splits
 from helioframe.plans import compare
 from helioframe.plans.dataset import build_dataset, build_features, clean_readings
+from helioframe.plans.profile import quality_profile
 from helioframe.schema import CALENDAR_COLUMNS, LAG_FEATURES, PHYSICS_COLUMNS
-from helioframe.session import stored
+from helioframe.session import shared_folder, stored
 from helioframe.sources.integrity import verify_files
-from helioframe.sources.run_store import results_summary
+from helioframe.sources.run_store import read_runs, results_summary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,6 +58,35 @@ def column_completeness(spark: SparkSession, d: str) -> DataFrame:
     return quality.column_completeness(_raw(spark, d))
 
 
+def column_completeness_by_series(spark: SparkSession, d: str) -> DataFrame:
+    return quality.column_completeness(_raw(spark, d), by=("series_id",))
+
+
+def coverage_by_series(spark: SparkSession, d: str) -> DataFrame:
+    return quality.coverage(_raw(spark, d), by=("series_id",))
+
+
+def completeness_by_series_year(spark: SparkSession, d: str) -> DataFrame:
+    return quality.completeness_by_year(si.order_feed(spark, d), by=("series_id",))
+
+
+def missing_heatmap_by_series(spark: SparkSession, d: str) -> DataFrame:
+    heat = quality.missing_heatmap(si.order_feed(spark, d), by=("series_id",))
+    return _rounded(heat, 6, *[c for c in heat.columns if c.startswith("m")])
+
+
+def anomaly_counts_by_series(spark: SparkSession, d: str) -> DataFrame:
+    counts = quality.anomaly_counts(si.readings(spark, d), si.weather(spark, d), by=("series_id",))
+    return _rounded(counts, 6, "negative_generation_pct")
+
+
+def profile_completeness(spark: SparkSession, d: str) -> DataFrame:
+    """The same as ``column_completeness_by_series``, rolled up from the monthly facts of the whole profile."""
+    raw = _raw(spark, d)
+    tables, _ = quality_profile(raw["time_series"], raw["weather"], by=("series_id",))
+    return tables["column_completeness"]
+
+
 def completeness_by_year(spark: SparkSession, d: str) -> DataFrame:
     return quality.completeness_by_year(si.order_feed(spark, d))
 
@@ -197,14 +227,16 @@ def gap_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fill_audit(spark: SparkSession, d: str) -> DataFrame:
-    before = _aligned_clean(spark, d)
-    columns = ["generation", "cf", "load"]
-    return clean.fill_audit(before, gaps.interpolate_short_gaps(before, columns), columns)
+    return gaps.filled_hours(_aligned_clean(spark, d), ["generation", "cf", "load"])
 
 
 def dataset_build(spark: SparkSession, d: str) -> DataFrame:
     built = build_dataset(
-        si.readings(spark, d), si.weather(spark, d), si.JANUARY, span_hours=SPAN
+        si.readings(spark, d),
+        si.weather(spark, d),
+        si.JANUARY,
+        series=si.sites(spark, d),
+        span_hours=SPAN,
     )
     return _rounded(built, 9, "generation", "cf", "load")
 
@@ -324,13 +356,16 @@ def physics_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
+    """Every located series is wanted, so each feed is read once."""
+    sites = si.sites(spark, d)
     return build_features(
         si.readings(spark, d),
         si.weather(spark, d),
-        si.sites(spark, d),
+        sites,
         si.JANUARY,
         si.JANUARY_SPLIT,
         span_hours=SPAN,
+        series=sites,
     )
 
 
@@ -471,8 +506,11 @@ def model_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_results(spark: SparkSession, d: str) -> DataFrame:
-    """Summary of a run of the six forecasters without trees."""
-    summary = results_summary(_compared(compare.baseline_models(si.YEARS_SPLIT), spark, d).metrics("run"))
+    """Summary of a stored run of the six forecasters without trees, read back from the run store."""
+    run = _compared(compare.baseline_models(si.YEARS_SPLIT), spark, d)
+    folder = shared_folder(spark, "runs")
+    run.save(folder, "run")
+    summary = results_summary(read_runs(spark, folder), "run")
     return _rounded(summary, 6, "val_rmse", "val_mae", "skill")
 
 
@@ -485,7 +523,7 @@ def model_comparison_trees(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_integrity(spark: SparkSession, d: str) -> DataFrame:
-    """The table files against a manifest of their own digests, one of them spoiled."""
+    """Every table file against a manifest written beforehand; one digest is spoiled, one file has none."""
     paths = f"{d}/*.parquet"
     files = spark.read.format("binaryFile").load(paths)
     name = F.element_at(F.split("path", "/"), -1)
@@ -493,12 +531,12 @@ def file_integrity(spark: SparkSession, d: str) -> DataFrame:
         name.alias("file"),
         F.when(name == "orders.parquet", F.upper(F.md5("content")))
         .when(name == "lineitem.parquet", F.sha1("content"))
-        .when(name == "events.parquet", F.sha2("content", 256))
         .when(name == "supplier.parquet", F.reverse(F.md5("content")))
-        .otherwise("")
+        .when(name == "nation.parquet", "")
+        .otherwise(F.sha2("content", 256))
         .alias("expected"),
     )
-    checked = verify_files(spark, paths, manifest)
+    checked = verify_files(spark, paths, stored(manifest))
     return checked.select(F.element_at(F.split("path", "/"), -1).alias("file"), "algo", "status")
 
 
@@ -506,6 +544,12 @@ REGISTRY: dict[str, Query] = {
     "coverage": coverage,
     "usable_overlap": usable_overlap,
     "column_completeness": column_completeness,
+    "column_completeness_by_series": column_completeness_by_series,
+    "coverage_by_series": coverage_by_series,
+    "completeness_by_series_year": completeness_by_series_year,
+    "missing_heatmap_by_series": missing_heatmap_by_series,
+    "anomaly_counts_by_series": anomaly_counts_by_series,
+    "profile_completeness": profile_completeness,
     "completeness_by_year": completeness_by_year,
     "missing_heatmap": missing_heatmap,
     "anomaly_counts": anomaly_counts,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from helioframe.functions.timeaxis import EPOCH, instant, plus_hours
@@ -13,24 +13,58 @@ from helioframe.operators.spans import HOUR, SPAN, Spans
 from helioframe.schema import TALL, Axis
 
 
+def _filled(
+    df: DataFrame, columns: Sequence[str], max_gap_hours: int, axis: Axis, span_hours: int, absent: dict[str, str]
+) -> DataFrame:
+    """``df`` with short gaps closed; ``absent`` names a flag for columns whose hours missing before are to be told."""
+    spans = Spans(axis, max(span_hours, max_gap_hours), back=max_gap_hours, ahead=max_gap_hours)
+    known = Neighbours(columns, [*axis.keys, SPAN])
+    marked = df.withColumns({flag: F.col(c).isNull() for c, flag in absent.items()}) if absent else df
+    return spans.gather(known.fill(spans.scatter(marked), max_gap_hours))
+
+
+def _fill_counts(absent: dict[str, str]) -> list[Column]:
+    return [F.count_if(F.col(flag) & F.col(c).isNotNull()).alias(c) for c, flag in absent.items()]
+
+
 def interpolate_short_gaps(
     df: DataFrame,
     columns: Sequence[str],
     max_gap_hours: int = 3,
     axis: Axis = TALL,
     span_hours: int = 240,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """Fill runs of at most ``max_gap_hours`` missing hours; longer and edge runs stay NULL.
 
     Each column is filled on its own. One shuffle by ``(keys, span)``: a fillable hour has
-    both neighbours within ``max_gap_hours``, which is the halo of a span.
+    both neighbours within ``max_gap_hours``, which is the halo of a span. ``observation``
+    receives the filled hours of each column in the next action.
     """
     if max_gap_hours < 1 or not columns:
         return df
-    spans = Spans(axis, max(span_hours, max_gap_hours), back=max_gap_hours, ahead=max_gap_hours)
-    known = Neighbours(columns, [*axis.keys, SPAN])
-    filled = known.fill(spans.scatter(df), max_gap_hours)
-    return spans.gather(filled).select(*df.columns)
+    absent = {c: f"__absent_{c}" for c in columns} if observation is not None else {}
+    filled = _filled(df, columns, max_gap_hours, axis, span_hours, absent)
+    if observation is not None:
+        filled = filled.observe(observation, *_fill_counts(absent))
+    return filled.select(*df.columns)
+
+
+def filled_hours(
+    df: DataFrame,
+    columns: Sequence[str],
+    max_gap_hours: int = 3,
+    axis: Axis = TALL,
+    span_hours: int = 240,
+) -> DataFrame:
+    """How many missing hours ``interpolate_short_gaps`` fills, one row per column.
+
+    Counted in the pass that fills, from a flag that says which hours were missing; ``df``
+    is read once.
+    """
+    absent = {c: f"__absent_{c}" for c in columns}
+    counts = _filled(df, columns, max_gap_hours, axis, span_hours, absent).agg(*_fill_counts(absent))
+    return counts.unpivot([], list(columns), "column", "filled_hours")
 
 
 def gap_runs(

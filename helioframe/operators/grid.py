@@ -23,6 +23,7 @@ from helioframe.schema import TALL, Axis
 
 _NEXT = "__next"
 _LISTED = "__listed"
+CARRIED = "__carried"
 
 
 def _span_skeleton(series: DataFrame | None, spark: SparkSession, count: int) -> DataFrame:
@@ -70,7 +71,8 @@ def _measures(df: DataFrame, axis: Axis) -> list[str]:
     return [c for c in df.columns if c not in axis.columns]
 
 
-def _common_series(feeds: Sequence[DataFrame], axis: Axis) -> DataFrame | None:
+def common_series(feeds: Sequence[DataFrame], axis: Axis = TALL) -> DataFrame | None:
+    """The series present in all feeds; None on an axis without keys."""
     if not axis.keys:
         return None
     distinct = [feed.select(*axis.keys).distinct() for feed in feeds]
@@ -87,6 +89,7 @@ def align_within_spans(
     fill: Sequence[str] = (),
     max_gap_hours: int = 0,
     emit_back: int = 0,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Aligned feeds with their hour and span, short gaps of the ``fill`` columns closed.
 
@@ -95,7 +98,9 @@ def align_within_spans(
     fill are found among the present rows; only then are absent hours written out between
     one present hour and the next. Each span emits its own hours and ``emit_back`` hours
     before them. ``spans`` needs a halo of ``max_gap_hours`` around what it emits, and
-    ``start`` as its origin.
+    ``start`` as its origin. The ``carry`` columns of ``series`` come back on every row as one
+    struct, ``CARRIED``: they ride on the one row per series and span that opens a span, so
+    no row is joined to them.
     """
     if on_duplicate not in ("fail", "mean"):
         raise ValueError(f"on_duplicate must be 'fail' or 'mean', got {on_duplicate!r}")
@@ -119,14 +124,20 @@ def align_within_spans(
         rows = on_grid.select(*axis.keys, hour.alias(HOUR), *names, F.lit(1).alias(f"__feed{i}"))
         parts.append(spans.assign(rows).where(F.col(SPAN).between(0, count - 1)))
 
-    listed = series.select(*axis.keys).distinct() if series is not None else None
-    if listed is None:
-        listed = _common_series(feeds, axis)
+    if series is None:
+        listed = common_series(feeds, axis)
+    elif carry:
+        # One row per series, the same one whatever the order of the input.
+        listed = series.groupBy(*axis.keys).agg(F.max(F.struct(*carry)).alias(CARRIED))
+    else:
+        listed = series.select(*axis.keys).distinct()
+    carried = [CARRIED] if series is not None and carry else []
     skeleton = _span_skeleton(listed, feeds[0].sparkSession, count).select(
         *axis.keys,
         SPAN,
         F.greatest(F.col(SPAN) * spans.hours - spans.back, F.lit(0)).alias(HOUR),
         F.lit(1).alias(_LISTED),
+        *carried,
     )
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*parts, skeleton])
 
@@ -138,6 +149,7 @@ def align_within_spans(
             *[F.max(c).alias(c) for c in columns],
             *[F.count(c).alias(c) for c in seen],
             F.max(_LISTED).alias(_LISTED),
+            *[F.max(c).alias(c) for c in carried],
         )
     )
     twice = reduce(lambda a, b: a | b, [F.col(c) > 1 for c in seen])
@@ -155,7 +167,7 @@ def align_within_spans(
         *[c for c in columns if c not in filled],
         *[h.alias(n) for n, h in known.helpers().items()],
         # The skeleton row opens its span, so the first row tells whether the series is wanted.
-        F.first(_LISTED).over(order).alias(_LISTED),
+        *[F.first(c).over(order).alias(c) for c in (_LISTED, *carried)],
         F.lead(HOUR).over(order).alias(_NEXT),
     ).where(F.col(_LISTED).isNotNull())
     ranged = bounded.withColumns(
@@ -178,6 +190,7 @@ def align_within_spans(
         ],
         at.alias(HOUR),
         SPAN,
+        *carried,
     )
 
 

@@ -11,7 +11,7 @@ from helioframe.functions.exprs import as_column
 from helioframe.functions.timeaxis import require_utc
 from helioframe.schema import PHYSICS_COLUMNS, TALL, WIDE, Axis, SiteConfig
 
-_SITE = ("latitude_deg", "longitude_deg", "tilt_deg", "azimuth_deg")
+SITE_PARAMETERS = ("latitude_deg", "longitude_deg", "tilt_deg", "azimuth_deg")
 
 
 _HELPERS = ("__lat", "__day", "__hour_angle", "__decl", "__sin_lat", "__cos_lat", "__sin_decl", "__cos_decl")
@@ -138,16 +138,29 @@ def add_physics(
     """
     inputs = {"temperature": "temperature", "direct": "direct", "diffuse": "diffuse"}
     if isinstance(sites, DataFrame):
-        renamed = sites.select(*axis.keys, *[F.col(c).alias(f"__{c}") for c in _SITE])
+        renamed = sites.select(*axis.keys, *[F.col(c).alias(f"__{c}") for c in SITE_PARAMETERS])
         located = df.join(renamed, list(axis.keys), "left")
-        params = {c: F.col(f"__{c}") for c in _SITE}
+        params = {c: F.col(f"__{c}") for c in SITE_PARAMETERS}
         added = _add_physics(located, inputs, params, "", axis, azimuth_mode, poa_max)
         return added.select(*df.columns, *PHYSICS_COLUMNS)
     config = sites or SiteConfig()
-    params = {c: F.lit(getattr(config, c)) for c in _SITE}
+    params = {c: F.lit(getattr(config, c)) for c in SITE_PARAMETERS}
     return _add_physics(df, inputs, params, "", axis, azimuth_mode, poa_max)
 
 
+def add_physics_at(
+    df: DataFrame,
+    site: str,
+    axis: Axis = TALL,
+    azimuth_mode: str = "as_coded",
+    poa_max: float | None = None,
+) -> DataFrame:
+    """``add_physics`` for rows that carry the parameters of their site in the struct column ``site``, which is dropped."""
+    inputs = {"temperature": "temperature", "direct": "direct", "diffuse": "diffuse"}
+    params = {c: F.col(f"{site}.{c}") for c in SITE_PARAMETERS}
+    return _add_physics(df, inputs, params, "", axis, azimuth_mode, poa_max).drop(site)
+
+
 def add_physics_features(
     df: DataFrame,
     country: str = "DE",
@@ -163,7 +176,7 @@ def add_physics_features(
         "direct": f"{country}_radiation_direct_horizontal",
         "diffuse": f"{country}_radiation_diffuse_horizontal",
     }
-    params = {c: F.lit(getattr(config, c)) for c in _SITE}
+    params = {c: F.lit(getattr(config, c)) for c in SITE_PARAMETERS}
     return _add_physics(df, inputs, params, f"{country}_", axis, azimuth_mode, poa_max)
 
 

@@ -23,27 +23,30 @@ def _present_pct(column: str) -> Column:
     return 100.0 * F.count(column) / F.count(F.lit(1))
 
 
-def coverage(feeds: Mapping[str, DataFrame], axis: Axis = TALL) -> DataFrame:
-    """First and last timestamp and row count of each feed."""
+def coverage(feeds: Mapping[str, DataFrame], axis: Axis = TALL, by: Sequence[str] = ()) -> DataFrame:
+    """First and last timestamp and row count of each feed; ``by`` keeps series apart."""
     return _stack(
         [
-            df.agg(
+            df.groupBy(*by)
+            .agg(
                 F.min(axis.ts).alias("start_ts"),
                 F.max(axis.ts).alias("end_ts"),
                 F.count("*").alias("n_rows"),
-            ).select(F.lit(source).alias("source"), "start_ts", "end_ts", "n_rows")
+            )
+            .select(F.lit(source).alias("source"), *by, "start_ts", "end_ts", "n_rows")
             for source, df in feeds.items()
         ]
     )
 
 
-def usable_overlap(covered: DataFrame) -> DataFrame:
+def usable_overlap(covered: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Period shared by all feeds of a ``coverage`` table, in hours and years of 8,760 hours."""
     # Whole hours, rounded down also where the feeds do not meet.
     seconds = F.expr("timestampdiff(SECOND, overlap_start, overlap_end)")
     hours = F.floor(seconds / 3600) + 1
     return (
-        covered.agg(
+        covered.groupBy(*by)
+        .agg(
             F.max("start_ts").alias("overlap_start"), F.min("end_ts").alias("overlap_end")
         )
         .withColumn("overlap_hours", hours)
@@ -52,31 +55,37 @@ def usable_overlap(covered: DataFrame) -> DataFrame:
 
 
 def column_completeness(
-    feeds: Mapping[str, DataFrame], axis: Axis = TALL, digits: int = 2
+    feeds: Mapping[str, DataFrame], axis: Axis = TALL, digits: int = 2, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Percentage of present values per feed and column, least complete first."""
+    """Percentage of present values per feed and column, least complete first; ``by`` keeps series apart."""
     profiles = []
     for source, df in feeds.items():
         names = [c for c in df.columns if c not in axis.columns]
         profiles.append(
-            df.agg(*[_present_pct(c).alias(c) for c in names])
-            .unpivot([], names, "column", "pct")
+            df.groupBy(*by)
+            .agg(*[_present_pct(c).alias(c) for c in names])
+            .unpivot(list(by), names, "column", "pct")
             .select(
                 F.lit(source).alias("source"),
+                *by,
                 "column",
                 F.bround("pct", digits).alias("present_pct"),
             )
         )
-    return _stack(profiles).orderBy("present_pct", "source", "column")
+    return _stack(profiles).orderBy("present_pct", "source", *by, "column")
 
 
 def completeness_by_year(
-    df: DataFrame, column: str = "generation", axis: Axis = TALL, digits: int = 2
+    df: DataFrame,
+    column: str = "generation",
+    axis: Axis = TALL,
+    digits: int = 2,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     return (
-        df.groupBy(F.year(axis.ts).alias("year"))
+        df.groupBy(*by, F.year(axis.ts).alias("year"))
         .agg(F.bround(_present_pct(column), digits).alias("present_pct"))
-        .orderBy("year")
+        .orderBy(*by, "year")
     )
 
 
@@ -89,11 +98,12 @@ def reading_anomalies(
     generation: str = "generation",
     axis: Axis = TALL,
     night_threshold: float = 1.0,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Negative generation (count and share of all rows) and generation at night."""
     g = F.col(generation)
     negative = F.count_if(g < 0)
-    return df.agg(
+    return df.groupBy(*by).agg(
         negative.alias("negative_generation"),
         ratio(100.0 * negative, F.count(F.lit(1))).alias("negative_generation_pct"),
         F.count_if(is_night(axis.ts) & (g > night_threshold)).alias("night_generation"),
@@ -109,6 +119,7 @@ def weather_anomalies(
     low: float = -30.0,
     high: float = 45.0,
     night_threshold: float = 1.0,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Implausible temperatures and irradiance at night.
 
@@ -118,18 +129,30 @@ def weather_anomalies(
     t = F.col(temperature)
     total = F.coalesce(F.col(direct), F.lit(0.0)) + F.coalesce(F.col(diffuse), F.lit(0.0))
     dark = is_night(axis.ts, NIGHT_HOURS_IRRADIANCE_PROFILE)
-    return df.agg(
+    return df.groupBy(*by).agg(
         F.count_if((t < low) | (t > high)).alias("temperature_out_of_range"),
         F.count_if(dark & (total > night_threshold)).alias("night_irradiance"),
     )
 
 
-def anomaly_counts(readings: DataFrame, weather: DataFrame, axis: Axis = TALL) -> DataFrame:
-    """All anomaly counts as one row; one pass over each feed."""
-    # Both sides are single-row aggregates, so the join key is a constant.
-    left = reading_anomalies(readings, axis=axis).withColumn("__one", F.lit(1))
-    right = weather_anomalies(weather, axis=axis).withColumn("__one", F.lit(1))
-    return left.join(right, "__one").drop("__one")
+def side_by_side(left: DataFrame, right: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Two aggregates over the same series in one table; without ``by`` both are single rows."""
+    if by:
+        return left.join(right, list(by), "full")
+    one = "__one"
+    return left.withColumn(one, F.lit(1)).join(right.withColumn(one, F.lit(1)), one).drop(one)
+
+
+def anomaly_counts(
+    readings: DataFrame, weather: DataFrame, axis: Axis = TALL, by: Sequence[str] = ()
+) -> DataFrame:
+    """All anomaly counts as one row, or one for each series; one pass over each feed.
+
+    Counts of a feed that a series does not have are NULL.
+    """
+    return side_by_side(
+        reading_anomalies(readings, axis=axis, by=by), weather_anomalies(weather, axis=axis, by=by), by
+    )
 
 
 def paired_feeds(

@@ -13,9 +13,14 @@ from helioframe.operators.clean import (
     clip_nighttime_irradiance,
     normalize_to_capacity_factor,
 )
-from helioframe.operators.grid import align_within_spans
+from helioframe.operators.grid import CARRIED, align_within_spans, common_series
 from helioframe.operators.lags import lag_on_grid
-from helioframe.operators.physics import add_calendar_features, add_physics
+from helioframe.operators.physics import (
+    SITE_PARAMETERS,
+    add_calendar_features,
+    add_physics,
+    add_physics_at,
+)
 from helioframe.operators.spans import HOUR, SPAN, Spans
 from helioframe.operators.splits import add_split
 from helioframe.schema import DEFAULT_LAGS, TALL, WIDE, Axis, PreprocessConfig, SiteConfig, Split
@@ -75,29 +80,42 @@ def build_features(
     azimuth_mode: str = "as_coded",
     on_duplicate: str = "fail",
     span_hours: int = 1344,
+    series: DataFrame | None = None,
 ) -> DataFrame:
     """The dataset with lag, physics and calendar features and its ``split`` label.
 
     Lags ride on the shuffle of the dataset build: the halo covers the longest lag plus the
-    gap that a lagged value may have been filled across.
+    gap that a lagged value may have been filled across. Site parameters ride on the one row
+    per series and span that the grid is made from. Wanted are the series listed in
+    ``series`` (the table of sites itself, for one), else those present in both feeds, which
+    takes a second scan of the feeds' key columns.
     """
     cfg = config or PreprocessConfig()
     gap = cfg.max_interpolation_gap_hours
     reach = max(lags) + gap
     spans = Spans(TALL, max(span_hours, reach), reach, gap, parse_instant(cfg.overlap_start))
+    feeds = [clean_readings(readings, cfg), clean_weather(weather, cfg)]
+    located = isinstance(sites, DataFrame)
+    if located and series is not sites:
+        listed = series.select(*TALL.keys).distinct() if series is not None else common_series(feeds)
+        series = listed.join(sites, list(TALL.keys), "left")
     aligned = align_within_spans(
-        [clean_readings(readings, cfg), clean_weather(weather, cfg)],
+        feeds,
         cfg.overlap_start,
         cfg.overlap_end,
         spans,
-        None,
+        series,
         on_duplicate,
         FILLED,
         gap,
         emit_back=max(lags),
+        carry=SITE_PARAMETERS if located else (),
     )
-    lagged = spans.gather(lag_on_grid(aligned, target, lags, spans))
-    return feature_columns(add_ghi(lagged), sites, split, azimuth_mode)
+    lagged = add_ghi(spans.gather(lag_on_grid(aligned, target, lags, spans)))
+    if not located:
+        return feature_columns(lagged, sites, split, azimuth_mode)
+    physics = add_physics_at(lagged, CARRIED, azimuth_mode=azimuth_mode)
+    return add_split(add_calendar_features(physics), split)
 
 
 def feature_columns(

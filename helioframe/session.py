@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +52,15 @@ def stored(df: DataFrame) -> DataFrame:
         ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint()
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for tables that are written and read again. Only a session on one machine
+    may do without a folder in ``spark.checkpoint.dir``."""
+    context = spark.sparkContext
+    base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="helioframe-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

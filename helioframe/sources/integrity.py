@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Hex length of each digest.
 MD5_LENGTH, SHA1_LENGTH, SHA256_LENGTH = 32, 40, 64
 
+_DIGESTS = pa.schema([(name, pa.string()) for name in ("path", "algo", "expected", "actual")])
+
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """``(file, expected)`` from a data package description (``resources[].path/hash``)."""
@@ -18,33 +25,79 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def verify_files(spark: SparkSession, paths: str | list[str], manifest: DataFrame) -> DataFrame:
+def _streamed_digests(piece: int):
+    """Digests of files read piece by piece, for a task that is given their paths and algorithms."""
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = row["path"]
+                if path.startswith("file:"):
+                    system, name = pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+                else:
+                    system, name = pafs.FileSystem.from_uri(path)
+                digest = hashlib.new(row["algo"])
+                with system.open_input_stream(name) as stream:
+                    while part := stream.read(piece):
+                        digest.update(part)
+                yield pa.RecordBatch.from_pylist([{**row, "actual": digest.hexdigest()}], _DIGESTS)
+
+    return digests
+
+
+def verify_files(
+    spark: SparkSession,
+    paths: str | list[str],
+    manifest: DataFrame,
+    whole_limit: int = 256 << 20,
+    piece: int = 8 << 20,
+) -> DataFrame:
     """``(path, algo, expected, actual, status)`` for each file found under ``paths``.
 
     The algorithm follows from the length of the published digest. Status is ``verified``,
-    ``mismatch``, or ``skipped`` for a file without a usable digest. Each file is one row,
-    which limits it to 2 GB; files are hashed in parallel and never deleted.
+    ``mismatch``, or ``skipped`` for a file without a usable digest. Files of up to
+    ``whole_limit`` bytes are read by Spark, a row each. A larger one is read in its task by
+    pieces of ``piece`` bytes, so its size is not limited; its storage must be one that
+    pyarrow opens by URI (local files, HDFS, S3, GCS). Files are hashed in parallel.
     """
-    files = spark.read.format("binaryFile").load(paths)
-    named = files.select("path", "content", F.element_at(F.split("path", "/"), -1).alias("file"))
+    listed = spark.read.format("binaryFile").load(paths)
+    file = F.element_at(F.split("path", "/"), -1)
     length = F.length("expected")
     algo = (
         F.when(length == MD5_LENGTH, "md5")
         .when(length == SHA1_LENGTH, "sha1")
         .when(length == SHA256_LENGTH, "sha256")
     )
-    # Left join on the file name; the content stays on its side of the join.
-    hashed = named.join(manifest, "file", "left").withColumn("algo", algo)
-    actual = (
-        F.when(F.col("algo") == "md5", F.md5("content"))
-        .when(F.col("algo") == "sha1", F.sha1("content"))
-        .when(F.col("algo") == "sha256", F.sha2("content", 256))
+    # The length is compared in the scan: content is read of no other files, and of none at all for a large one.
+    # Left joins on the file name; the content stays on its side of the join.
+    whole = (
+        listed.where(F.col("length") <= whole_limit)
+        .select("path", "content", file.alias("file"))
+        .join(manifest, "file", "left")
+        .withColumn("algo", algo)
+        .select(
+            "path",
+            "algo",
+            "expected",
+            F.when(F.col("algo") == "md5", F.md5("content"))
+            .when(F.col("algo") == "sha1", F.sha1("content"))
+            .when(F.col("algo") == "sha256", F.sha2("content", 256))
+            .alias("actual"),
+        )
     )
+    large = (
+        listed.where(F.col("length") > whole_limit)
+        .select("path", file.alias("file"))
+        .join(manifest, "file", "left")
+        .select("path", algo.alias("algo"), "expected")
+    )
+    # A given number of partitions, or a few paths would be put into one task for their small size.
+    dealt = large.where("algo IS NOT NULL").repartition(spark.sparkContext.defaultParallelism, "path")
+    streamed = dealt.mapInArrow(_streamed_digests(piece), "path string, algo string, expected string, actual string")
+    plain = large.where("algo IS NULL").withColumn("actual", F.lit(None).cast("string"))
     status = (
         F.when(F.col("actual").isNull(), "skipped")
         .when(F.lower("actual") == F.lower("expected"), "verified")
         .otherwise("mismatch")
     )
-    return hashed.withColumn("actual", actual).select(
-        "path", "algo", "expected", "actual", status.alias("status")
-    )
+    return whole.unionByName(streamed).unionByName(plain).withColumn("status", status)

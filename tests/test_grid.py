@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from helioframe.operators import gaps, grid
@@ -195,3 +197,15 @@ def test_lag_skips_to_null_where_the_hour_is_absent(frame):
     assert column(add_lag_features(df, "x", [2]), "x_lag_2h") == [None, 1.0]
     with pytest.raises(ValueError):
         add_lag_features(df, "x", [0])
+
+
+def test_filled_hours_are_counted_in_the_pass_that_fills(spark):
+    day = datetime(2020, 1, 1)
+    values = [1.0, None, None, 4.0, None, None, None, None, 9.0, None]
+    rows = [("a", day + timedelta(hours=i), v, None if i == 0 else v) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, x double, y double")
+    counted = gaps.filled_hours(df, ["x", "y"], 3, span_hours=4)
+    assert {r["column"]: r.filled_hours for r in counted.collect()} == {"x": 2, "y": 0}
+    seen = Observation()
+    filled = gaps.interpolate_short_gaps(df, ["x", "y"], 3, span_hours=4, observation=seen)
+    assert filled.columns == df.columns and filled.collect() and seen.get == {"x": 2, "y": 0}

@@ -101,21 +101,22 @@ def test_one_year(readings, weather):
     ]
 
 
-def test_profile_tables_equal_the_single_operators(readings, weather, spark, tmp_path):
-    names = write_profile(readings, weather, str(tmp_path))
+@pytest.mark.parametrize("by", [(), ("series_id",)])
+def test_profile_tables_equal_the_single_operators(readings, weather, spark, tmp_path, by):
+    names = write_profile(readings, weather, str(tmp_path), by=by)
     feeds = {"time_series": readings, "weather": weather}
     paired = q.paired_feeds(readings, weather)
     single = {
-        "coverage": q.coverage(feeds),
-        "usable_overlap": q.usable_overlap(q.coverage(feeds)),
-        "column_completeness": q.column_completeness(feeds),
-        "completeness_by_year": q.completeness_by_year(readings),
-        "anomaly_counts": q.anomaly_counts(readings, weather),
-        "correlation": q.overall_correlation(paired),
-        "correlation_by_month": q.correlation_by_month(paired),
-        "capacity_by_year": q.capacity_by_year(readings),
-        "capacity_growth": q.capacity_growth(q.capacity_by_year(readings)),
-        "missing_heatmap": q.missing_heatmap(readings),
+        "coverage": q.coverage(feeds, by=by),
+        "usable_overlap": q.usable_overlap(q.coverage(feeds, by=by), by),
+        "column_completeness": q.column_completeness(feeds, by=by),
+        "completeness_by_year": q.completeness_by_year(readings, by=by),
+        "anomaly_counts": q.anomaly_counts(readings, weather, by=by),
+        "correlation": q.overall_correlation(paired, by=by),
+        "correlation_by_month": q.correlation_by_month(paired, by=by),
+        "capacity_by_year": q.capacity_by_year(readings, by=by),
+        "capacity_growth": q.capacity_growth(q.capacity_by_year(readings, by=by), by),
+        "missing_heatmap": q.missing_heatmap(readings, by=by),
         "capacity_timeline": q.capacity_timeline(readings),
         "one_year": q.one_year(readings, weather),
     }

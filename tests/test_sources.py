@@ -8,9 +8,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from helioframe.operators.lags import add_lag_features
-from helioframe.operators.physics import add_physics_features
+from helioframe.operators.physics import SITE_PARAMETERS, add_physics, add_physics_features
 from helioframe.plans.dataset import build_dataset, build_features, build_wide_dataset
-from helioframe.schema import PROFILE_TIME_SERIES_COLUMNS, WEATHER_COLUMNS, WIDE, PreprocessConfig
+from helioframe.plans.profile import OPERATORS, write_wide_profile
+from helioframe.schema import (
+    PHYSICS_COLUMNS,
+    PROFILE_TIME_SERIES_COLUMNS,
+    WEATHER_COLUMNS,
+    WIDE,
+    PreprocessConfig,
+)
 from helioframe.sources import raw_feeds
 from helioframe.sources.dataset_store import build_and_cache, dataset_path, load_dataset
 from helioframe.sources.integrity import read_manifest, verify_files
@@ -106,6 +113,30 @@ def test_plan_of_the_feature_build(spark, raw_dir, tmp_path):
     assert "Join" not in plan and "Cartesian" not in plan and "SinglePartition" not in plan
 
 
+def test_feature_build_joins_no_row_to_its_site(spark, raw_dir, tmp_path):
+    """With the sites as list of series, each feed is read once and nothing but that list is joined or grouped by series."""
+    ts, wx = raw_feeds.load_raw(spark, raw_dir)
+    raw_feeds.tall_readings(ts).write.parquet(str(tmp_path / "readings"))
+    raw_feeds.tall_weather(wx).write.parquet(str(tmp_path / "weather"))
+    rows = [("DE", 52.0, 10.0, 30.0, 180.0), ("IT", 42.0, 12.0, 20.0, 170.0), ("IT", 41.0, 12.0, 20.0, 170.0)]
+    sites = spark.createDataFrame(rows, "series_id string, " + ", ".join(f"{c} double" for c in SITE_PARAMETERS))
+    feeds = [spark.read.parquet(str(tmp_path / n)) for n in ("readings", "weather")]
+    built = build_features(*feeds, sites, CONFIG, lags=(1, 24), span_hours=30, series=sites)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "Join" not in plan
+    assert plan.count("hashpartitioning(series_id") == 2
+    # A series without a site keeps its rows, and of two sites of a series one is taken.
+    only = sites.where("series_id = 'DE'")
+    part = build_features(*feeds, only, CONFIG, lags=(1, 24), span_hours=30)
+    by_join = add_physics(
+        part.drop(*PHYSICS_COLUMNS, "split", "hour_sin", "hour_cos", "doy_sin", "doy_cos"), only
+    )
+    names = ["series_id", "ts", *PHYSICS_COLUMNS]
+    a, b = part.select(names).orderBy("series_id", "ts").collect(), by_join.select(names).orderBy("series_id", "ts").collect()
+    assert a == b and len(a) == 96 and all(r.g_poa is None for r in a if r.series_id == "IT")
+    assert built.count() == 96
+
+
 def test_missing_file_and_renamed_column(spark, raw_dir):
     with pytest.raises(FileNotFoundError):
         raw_feeds.load_raw(spark, raw_dir + "/none")
@@ -198,6 +229,39 @@ def test_file_integrity(spark, tmp_path):
         "e.csv": (None, "skipped"),
         "f.csv": (None, "skipped"),
     }
+    # The same files as ones too large for a row, read in pieces; and some of either kind.
+    for limit in (0, len(content) - 1):
+        pieces = verify_files(
+            spark,
+            [str(tmp_path / f"{n}.csv") for n in "abcdef"],
+            read_manifest(spark, str(manifest)),
+            whole_limit=limit,
+            piece=5,
+        )
+        assert sorted(pieces.collect()) == sorted(checked.collect())
+    (tmp_path / "a.csv").write_bytes(content * 3)
+    mixed = verify_files(
+        spark,
+        [str(tmp_path / f"{n}.csv") for n in "ab"],
+        read_manifest(spark, str(manifest)),
+        whole_limit=len(content),
+        piece=7,
+    )
+    assert {r["path"][-5:]: r["status"] for r in mixed.collect()} == {"a.csv": "mismatch", "b.csv": "verified"}
+
+
+def test_profile_of_the_wide_feeds(spark, raw_dir, tmp_path):
+    ts, wx = raw_feeds.load_profile_feeds(spark, raw_dir)
+    write_wide_profile(ts, wx, str(tmp_path), year=2018)
+    done = spark.read.parquet(str(tmp_path / "column_completeness"))
+    got = {(r.source, r.series_id, r.column): r.present_pct for r in done.collect()}
+    assert len(got) == 6 * 3 + 2 * 3
+    for name in ("DE", *OPERATORS):
+        known = ts.agg(100.0 * F.count(f"{name}_solar_generation_actual") / F.count(F.lit(1))).first()[0]
+        assert got["time_series", name, "generation"] == pytest.approx(known, abs=0.01)
+    assert got["time_series", "DE_tennet", "capacity"] == 0.0
+    covered = spark.read.parquet(str(tmp_path / "coverage"))
+    assert covered.groupBy("source").count().orderBy("source").collect() == [("time_series", 6), ("weather", 2)]
 
 
 def test_row_local_steps_run_on_streams(spark, frame, tmp_path):
