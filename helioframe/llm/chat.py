@@ -218,26 +218,34 @@ def formatted_turns(log: DataFrame) -> DataFrame:
 
 
 def log_of_turns(turns_table: DataFrame, delta: int = DELTA) -> DataFrame:
-    """Finished turns (conv_id, turn, role, text) as the log of their streaming: each begins and grows by deltas.
+    """Finished turns (conv_id, turn, role, text) as the log of how they came about: each begins and grows by deltas.
 
-    Turns of the same number, repeated rows among them, are messages of their own, in the order of role and text.
+    Every fourth message begins with a draft that an edit replaces. Every eighth one is first written, and answered, in
+    another way and then regenerated, which drops both. The log folds to the given turns. Turns of the same number,
+    repeated rows among them, are messages of their own, in the order of role and text. A text is cut into its deltas in
+    one pass.
     """
     # A message's number has to be known where its rows are cut, so it comes from the conversation's own order.
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = turns_table.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
-    return _numbered(rows).select(
-        "conv_id",
-        F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / delta))).alias("part"),
-        "message",
-        "role",
-        "text",
-    ).select(
-        "conv_id",
-        (F.col("message") * (1 << 24) + F.col("part")).alias("seq"),
-        F.when(F.col("part") == 0, "message").otherwise("delta").alias("kind"),
-        "message",
-        "role",
-        F.substring("text", F.col("part") * delta + 1, F.lit(delta)).alias("text"),
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{delta}}}"), F.lit(0))
+    parts = F.when(F.length("text") > 0, cut).otherwise(F.array(F.lit("")))
+    said = _numbered(rows).select("conv_id", "message", "role", F.posexplode(parts).alias("part", "text"))
+
+    message, draft = F.col("message"), F.concat(F.lit("draft: "), F.left("text", F.lit(16)))
+
+    def event(place, kind: str, number, words):
+        return F.struct(F.lit(place).alias("place") if isinstance(place, int) else place.alias("place"), F.lit(kind).alias("kind"), number.alias("message"), words.alias("text"))
+
+    none = F.lit(None).cast("string")
+    told = [event(0, "message", message, draft), event(1, "message", message + 1, draft), event(2, "regenerate", message, none)]
+    plain = F.array(event(3, "message", message, F.col("text")))
+    edited = F.array(event(3, "message", message, draft), event(4, "edit", message, F.col("text")))
+    first = F.when(message % 8 == 3, F.concat(F.array(*told), plain)).when(message % 4 == 1, edited).otherwise(plain)
+    grown = F.array(event(4 + F.col("part"), "delta", message, F.col("text")))
+    events = F.when(F.col("part") == 0, first).otherwise(grown)
+    return said.select("conv_id", "role", (message * (1 << 24)).alias("base"), F.inline(events)).select(
+        "conv_id", (F.col("base") + F.col("place")).alias("seq"), "kind", "message", "role", "text"
     )
 
 
