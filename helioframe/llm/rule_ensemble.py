@@ -67,7 +67,8 @@ def held_out(doc_id: str) -> Column:
 def sampled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, sample: int) -> DataFrame:
     """Statistics and label of at most ``sample`` training documents."""
     picked = one_label(labels).where(~held_out("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(picked, "doc_id")
+    # At most ``sample`` ids and labels, so they go to the texts; the texts stay where they are read.
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id")
     rows = rows.select("doc_id", F.col("label").cast("double").alias("label"), text_stats("text").alias("s"))
     return rows.select("doc_id", "label", *(c.alias(n) for n, c in derived("s").items() if n in FEATURES))
 
