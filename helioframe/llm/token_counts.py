@@ -9,7 +9,8 @@ Two machines are compiled from a tokenizer file (BPE whose words end in a mark,
 2. The merger, a transducer over the bytes of a word whose transitions carry the change in the number of tokens. Its
    state is what the future can still depend on: the longest suffix of the word so far that begins a token, the last
    token of each prefix that ends in that suffix, and their counts. States and transitions are compiled when they are
-   first met. The word's end is a last transition, to the tokens with the end mark.
+   first met, and forgotten together at a bound, as text has no end of new words. The word's end is a last transition,
+   to the tokens with the end mark.
 
 The sum over a word's transitions is its number of tokens; words met before are remembered, up to a bound.
 
@@ -35,6 +36,8 @@ LIMIT = 2048
 CHUNK = 64
 PIECE_CHARS = 2 << 20
 REMEMBERED = 500_000
+#: States and answers of the merger held at once, about 100 MB of a worker; beyond, it is compiled anew.
+COMPILED = 400_000
 COUNTS = "struct<n_bytes:bigint,n_tokens:bigint>"
 COUNTS_ARROW = pa.struct([("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -125,11 +128,14 @@ class Merger:
         self.tokens = {*singles, *(c + end for c in singles), *self.born}
         # Everything that begins a token, as bytes stand in it.
         self.begins = {t[:k] for t in self.tokens for k in range(len(t.removesuffix(end)) + 1)}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was compiled; the machine is compiled anew from the words that follow."""
         self._stands: dict[tuple[str, str], bool] = {}
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.steps: list[dict[str, tuple[int, int]]] = []
-        self.ends: list[int | None] = []
         self.start = self.number(("", ("",), (0,)))
 
     def number(self, state: tuple) -> int:
@@ -138,7 +144,6 @@ class Merger:
             known = self.numbers[state] = len(self.states)
             self.states.append(state)
             self.steps.append({})
-            self.ends.append(None)
         return known
 
     def stand(self, a: str, b: str) -> bool:
@@ -195,6 +200,8 @@ class Merger:
 
     def count(self, word: str) -> int:
         """The number of tokens of a word, one character for a byte."""
+        if len(self.numbers) + len(self._stands) > COMPILED:
+            self.forget()
         state, total = self.start, 0
         for char in word[:-1]:
             state, change = self.steps[state].get(char) or self.compile(state, char)

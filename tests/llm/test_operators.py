@@ -291,6 +291,25 @@ def test_turns_come_back(spark):
     assert (got.loss_chars, got.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_logs_of_turns_have_drafts_edits_and_regenerated_tails(spark, monkeypatch):
+    monkeypatch.setattr(chat, "RANGE", 4)
+    rows = [(c, i, "assistant" if i % 2 else "user", f"{c} {i} " * i) for c in (1, 2) for i in range(30)]
+    rows.append((3, 0, "user", "x\U0001f600" * 500_000))
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    log = chat.log_of_turns(frame, delta=16)
+    counts = {r.kind: r["count"] for r in log.where("conv_id < 3").groupBy("kind").count().collect()}
+    # Of 30 messages 8 have the remainder 1 by 4 and 4 the remainder 3 by 8.
+    assert (counts["message"], counts["edit"], counts["regenerate"]) == (2 * (30 + 2 * 4), 2 * 8, 2 * 4)
+    events = log.where("conv_id < 3").orderBy("conv_id", "seq").collect()
+    for conv in (1, 2):
+        told = chat.fold((e.kind, e.message, e.role, e.text) for e in events if e.conv_id == conv)
+        assert told == [(r, t) for c, _, r, t in rows if c == conv]
+    got = {r.conv_id: r for r in chat.conversation_digests(chat.formatted_turns(log)).collect()}
+    for conv in (1, 2, 3):
+        final = "".join(f"{r}\n{t}\n" for c, _, r, t in rows if c == conv)
+        assert got[conv].turns_sha256 == hashlib.sha256(final.encode()).hexdigest()
+
+
 def test_blocks_fold_like_the_whole_log(spark, monkeypatch):
     rng = random.Random(8)
     kinds = ["message"] * 4 + ["delta"] * 5 + ["edit", "regenerate"]
@@ -329,6 +348,28 @@ def test_rules_score_held_out_labels(spark, odd):
     ]
 
 
+def test_token_counts_stay_right_when_the_machine_forgets(monkeypatch):
+    spec = token_counts.read_spec(public_tokenizers.path(queries.WORD_BPE))
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(1, 12))) for _ in range(600)]
+    whole = token_counts.Merger([tuple(m) for m in spec["merges"]], spec["end"])
+    want = [whole.count(w) for w in words]
+    monkeypatch.setattr(token_counts, "COMPILED", 300)
+    whole.forget()
+    held = 0
+    for word, n in zip(words, want, strict=True):
+        assert whole.count(word) == n
+        held = max(held, len(whole.states))
+    # At most one word's states and answers beyond the bound.
+    assert held < 300 + 100
+
+
+def test_the_sample_of_labels_goes_to_the_texts(docs, spark):
+    labels = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    plan = rule_ensemble.sampled(docs, labels, "doc_id", "text", 100)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_token_counts_equal_the_library(docs, odd):
     library = Tokenizer.from_file(public_tokenizers.path(queries.WORD_BPE))
     machine = token_counts.Counter(token_counts.read_spec(public_tokenizers.path(queries.WORD_BPE)))
