@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helioframe.llm import bpe, decontam, near_dups, pseudonyms, quality_rules
-from helioframe.llm.common import table, written
+from helioframe.llm.common import bounded_batches, table, written
 from helioframe.llm.queries import BYTE_BPE, PSEUDONYM_KEY
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    bounded_batches(spark)
     return quality_rules.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -23,6 +24,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    bounded_batches(spark)
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -34,6 +36,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether they decode to it."""
+    bounded_batches(spark)
     rows = bpe.encoded(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, into="bpe")
     said = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return rows.select(
