@@ -16,9 +16,10 @@ columns besides id and text are neither read nor changed.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass
-from itertools import repeat
+from dataclasses import dataclass
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,9 @@ from helioframe.llm.common import as_bytes, pieces, release_worker, spare_name,
 WINDOW = 10
 #: Bytes of text in a shard, and words of benchmark text that are looked up together.
 SHARD_BYTES = 8 << 20
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 #: Blocks that a task holds at once; more blocks take more passes.
-BLOCKS_AT_ONCE = 4
+BLOCKS_AT_ONCE = 2
 
 # ASCII letters and digits, and everything beyond ASCII, after lower-casing of A-Z (bytes.lower leaves other bytes).
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -48,10 +49,26 @@ FOUND = T.StructType(
 FOUND_ARROW = pa.struct(
     [("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]
 )
-MATCHES = "array<struct<item_id:string,item_word:bigint,doc_word:bigint,n_words:bigint>>"
+MATCHES = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("item_row", T.LongType()),
+            T.StructField("item_id", T.StringType()),
+            T.StructField("item_word", T.LongType()),
+            T.StructField("doc_word", T.LongType()),
+            T.StructField("n_words", T.LongType()),
+        ]
+    )
+)
 MATCHES_ARROW = pa.list_(
     pa.struct(
-        [("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())]
+        [
+            ("item_row", pa.int64()),
+            ("item_id", pa.string()),
+            ("item_word", pa.int64()),
+            ("doc_word", pa.int64()),
+            ("n_words", pa.int64()),
+        ]
     )
 )
 
@@ -62,10 +79,12 @@ def words_of(text: bytes) -> list[bytes]:
 
 @dataclass(frozen=True)
 class TestSuffixes:
-    """The suffixes of a block of items, cut to a window, as lower and upper search keys.
+    """The suffixes of a block of items, cut to a window, as search keys.
 
     ``per_key`` word numbers of ``bits`` bits make a key; a window takes ``lower.shape[1]`` keys. Beyond a window's end
     the lower key has zeros and the upper key ones, so the suffixes between the two are those that begin with it.
+    Window ``w`` starts in the benchmark at the places ``first_place[w]`` to ``first_place[w + 1]``, each of them a row
+    of ``place_row`` and ``place_word``; everything that grows with the block but its vocabulary is an array.
     """
 
     __test__ = False
@@ -74,35 +93,82 @@ class TestSuffixes:
     bits: int
     per_key: int
     lower: np.ndarray
-    upper: np.ndarray
     lengths: np.ndarray
-    #: For each window the (item id, word position) where it starts in the benchmark.
-    starts: list[list[tuple[str | None, int]]]
+    first_place: np.ndarray
+    place_row: np.ndarray
+    place_word: np.ndarray
+    #: Item id and number of each benchmark row that the block has words of.
+    ids: list[str | None]
+    rows: np.ndarray
+
+    @property
+    def upper(self) -> np.ndarray:
+        width = self.lower.shape[1] * self.per_key
+        beyond = np.arange(width) >= np.arange(self.lengths.max(initial=0) + 1)[:, None]
+        ones = np.where(beyond, (1 << self.bits) - 1, 0).reshape(len(beyond), -1, self.per_key)
+        return self.lower | packed(ones, self.bits)[self.lengths]
 
     @classmethod
     def build(cls, items: list[tuple[str | None, list[bytes]]], window: int) -> TestSuffixes:
-        numbers: dict[bytes, int] = {}
-        for _, words in items:
-            for word in words:
-                numbers.setdefault(word, len(numbers) + 1)
-        bits = (len(numbers) + 1).bit_length()
+        block = Block(window)
+        for row, (item, words) in enumerate(items):
+            block.add(row, item, 0, words)
+        return block.suffixes()
+
+
+class Block:
+    """Collects the words of benchmark rows, or of parts of them, as numbers."""
+
+    def __init__(self, window: int):
+        self.window = window
+        self.numbers: dict[bytes, int] = {}
+        #: Each part is followed by a window of zeros, so that no window reaches into the next part.
+        self.words = array("q")
+        self.n_words = 0
+        self.parts: list[tuple[int, str | None, int, int, int]] = []
+
+    def add(self, row: int, item: str | None, first: int, words: list[bytes]) -> None:
+        """``words`` of a row, which begin at its word ``first``."""
+        self.parts.append((row, item, first, len(self.words), len(words)))
+        numbers = self.numbers
+        self.words.extend(numbers.setdefault(w, len(numbers) + 1) for w in words)
+        self.words.extend(repeat(0, self.window))
+        self.n_words += len(words)
+
+    def suffixes(self) -> TestSuffixes:
+        bits = (len(self.numbers) + 1).bit_length()
         per_key = max(1, 62 // bits)
-        places: dict[tuple[int, ...], list[tuple[str | None, int]]] = {}
-        for item, words in items:
-            row = [numbers[w] for w in words]
-            size = min(window, len(row))
-            for at in range(len(row) - size + 1 if size else 0):
-                places.setdefault(tuple(row[at : at + size]), []).append((item, at))
-        n_keys = -(-window // per_key)
-        width, top = n_keys * per_key, (1 << bits) - 1
-        keys = []
-        for pad in (0, top):
-            grid = np.full((len(places), width), pad, np.int64)
-            for i, run in enumerate(places):
-                grid[i, : len(run)] = run
-            keys.append(packed(grid.reshape(len(places), n_keys, per_key), bits))
-        lengths = np.array([len(run) for run in places], np.int64)
-        return cls(numbers, bits, per_key, keys[0], keys[1], lengths, list(places.values()))
+        n_keys = -(-self.window // per_key)
+        words = np.array(self.words, np.int64)
+        begin = np.array([p[3] for p in self.parts], np.int64)
+        size = np.array([p[4] for p in self.parts], np.int64)
+        n_windows = np.where(size > 0, np.maximum(size - self.window, 0) + 1, 0)
+        at = spread(begin, begin + n_windows)
+        part = np.repeat(np.arange(len(begin)), n_windows)
+        keys = np.zeros((len(at), n_keys), np.int64)
+        for k in range(n_keys * per_key):
+            key = keys[:, k // per_key]
+            key <<= bits
+            if k < self.window:
+                key |= words[at + k]
+        order = np.lexsort(keys.T[::-1])
+        keys = keys[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (keys[1:] != keys[:-1]).any(1)
+        at, part = at[order], part[order]
+        first = np.array([p[2] for p in self.parts], np.int64)
+        return TestSuffixes(
+            self.numbers,
+            bits,
+            per_key,
+            keys[new],
+            np.minimum(size[part[new]], self.window),
+            np.append(np.flatnonzero(new), len(order)),
+            part.astype(np.int32),
+            at - begin[part] + first[part],
+            [p[1] for p in self.parts],
+            np.array([p[0] for p in self.parts], np.int64),
+        )
 
 
 def packed(numbers: np.ndarray, bits: int) -> np.ndarray:
@@ -206,35 +272,45 @@ def found_in(texts: list[bytes], test: TestSuffixes) -> list[dict]:
     base = shard.firsts[docs]
     for doc, start, end in zip(docs.tolist(), (starts - base).tolist(), (ends - base).tolist(), strict=True):
         out[doc]["spans"] += (start, end)
-    seen = np.unique(shard.document_of(at) * len(test.starts) + window)
-    items: dict[int, set[str]] = {}
-    for doc, w in zip((seen // len(test.starts)).tolist(), (seen % len(test.starts)).tolist(), strict=True):
-        items.setdefault(doc, set()).update(item for item, _ in test.starts[w] if item is not None)
-    for doc, ids in items.items():
-        out[doc]["items"] = sorted(ids)
+    n = len(test.lengths)
+    docs, windows = np.divmod(np.unique(shard.document_of(at) * n + window), n)
+    edges = [*np.flatnonzero(np.diff(docs, prepend=-1)).tolist(), len(docs)]
+    for start, end in pairwise(edges):
+        of = windows[start:end]
+        rows = np.unique(test.place_row[spread(test.first_place[of], test.first_place[of + 1])])
+        out[int(docs[start])]["items"] = sorted({test.ids[r] for r in rows.tolist()} - {None})
     return out
 
 
 def matches_in(texts: list[bytes], test: TestSuffixes) -> list[list[dict]]:
-    """For each text its maximal verbatim matches with every item."""
+    """For each text its verbatim matches with every row of the block, as long as the block shows them."""
     shard = Shard(texts, test)
     out: list[list[dict]] = [[] for _ in texts]
     at, window = shard.occurrences()
-    rows = sorted(
-        (item or "", int(p) - q, int(p), q, int(test.lengths[w]))
-        for p, w in zip(at.tolist(), window.tolist(), strict=True)
-        for item, q in test.starts[w]
-    )
-    last: dict = {}
-    before = None
-    for item, diagonal, p, q, size in rows:
-        if before is not None and before == (item, diagonal, p - 1):
-            last["n_words"] += 1
-        else:
-            doc = int(shard.document_of(np.array([p]))[0])
-            last = {"item_id": item, "item_word": q, "doc_word": p - int(shard.firsts[doc]), "n_words": size}
-            out[doc].append(last)
-        before = (item, diagonal, p)
+    if not len(at):
+        return out
+    low, high = test.first_place[window], test.first_place[window + 1]
+    places = spread(low, high)
+    p, length = np.repeat(at, high - low), np.repeat(test.lengths[window], high - low)
+    q, part = test.place_word[places], test.place_row[places]
+    row = test.rows[part]
+    order = np.lexsort((p, p - q, row))
+    p, q, row, part, length = p[order], q[order], row[order], part[order], length[order]
+    # Windows that follow one another word by word in the text and in the row are one match.
+    new = np.ones(len(p), bool)
+    new[1:] = (row[1:] != row[:-1]) | (np.diff(p - q) != 0) | (np.diff(p) != 1)
+    first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(p)) - 1
+    docs = shard.document_of(p[first])
+    for i, j, doc in zip(first.tolist(), last.tolist(), docs.tolist(), strict=True):
+        out[doc].append(
+            {
+                "item_row": int(row[i]),
+                "item_id": test.ids[part[i]],
+                "item_word": int(q[i]),
+                "doc_word": int(p[i] - shard.firsts[doc]),
+                "n_words": int(p[j] - p[i] + length[j]),
+            }
+        )
     return out
 
 
@@ -243,20 +319,18 @@ def test_blocks(
 ) -> Iterator[TestSuffixes]:
     """The benchmark in blocks of bounded size; one block is in the driver at a time. Overlong items are cut so that
     each window falls into one block."""
-    held: list[tuple[str | None, list[bytes]]] = []
-    n = 0
+    block = Block(window)
     rows = benchmark.select(F.col(item_id).cast("string"), F.col(text).cast("string"))
-    for item, said in rows.toLocalIterator():
+    for row, (item, said) in enumerate(rows.toLocalIterator()):
         words = words_of((said or "").encode())
         step = max(1, block_words - window + 1)
         for at in range(0, max(1, len(words) - window + 1), step):
             part = words[at : at + step + window - 1]
-            if held and n + len(part) > block_words:
-                yield TestSuffixes.build(held, window)
-                held, n = [], 0
-            held.append((item, part))
-            n += len(part)
-    yield TestSuffixes.build(held, window)
+            if block.parts and block.n_words + len(part) > block_words:
+                yield block.suffixes()
+                block = Block(window)
+            block.add(row, item, at, part)
+    yield block.suffixes()
 
 
 test_blocks.__test__ = False
@@ -268,7 +342,7 @@ def finder(block, to_arrow: pa.DataType, sql_type: str | T.DataType, look, shard
     @F.arrow_udf(sql_type)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         release_worker()
-        test = TestSuffixes(*block.value)
+        test = block.value
         for batch in batches:
             texts = as_bytes(batch)
             out: list = []
@@ -291,10 +365,33 @@ def merge_found(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, FOUND_ARROW)
 
 
-def with_found(
+@F.arrow_udf(MATCHES)
+def merge_matches(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Matches of two blocks; those of one row that overlap in step are one match that goes on beyond a block."""
+    out = []
+    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        whole: list[dict] = []
+        for m in sorted(x + y, key=lambda m: (m["item_row"], m["doc_word"] - m["item_word"], m["doc_word"])):
+            if whole and follows(whole[-1], m):
+                end = max(whole[-1]["doc_word"] + whole[-1]["n_words"], m["doc_word"] + m["n_words"])
+                whole[-1]["n_words"] = end - whole[-1]["doc_word"]
+            else:
+                whole.append(m)
+        out.append(whole)
+    return pa.array(out, MATCHES_ARROW)
+
+
+def follows(a: dict, b: dict) -> bool:
+    """Whether match ``b`` begins inside or right after ``a``, in the same row and in step with it."""
+    in_step = a["doc_word"] - a["item_word"] == b["doc_word"] - b["item_word"]
+    return a["item_row"] == b["item_row"] and in_step and b["doc_word"] <= a["doc_word"] + a["n_words"]
+
+
+def looked_up(
     docs: DataFrame,
     benchmark: DataFrame,
     into: str,
+    kind: tuple,
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
@@ -302,21 +399,30 @@ def with_found(
     shard_bytes: int = SHARD_BYTES,
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """``docs`` with a column ``into``: n_words, hit spans of words and the ids of the items found in each text."""
+    """``docs`` with what all blocks together give for each text in a column ``into``; ``kind`` names the look-up."""
+    to_arrow, sql_type, look, merge = kind
     context = docs.sparkSession.sparkContext
     other = spare_name(docs, "_more")
     for k, test in enumerate(test_blocks(benchmark, item_id, item_text, window, block_words)):
         if k and k % BLOCKS_AT_ONCE == 0:
             docs = written(docs)
-        find = finder(context.broadcast(astuple(test)), FOUND_ARROW, FOUND, found_in, shard_bytes)
-        found = find(F.col(text).cast("string"))
+        found = finder(context.broadcast(test), to_arrow, sql_type, look, shard_bytes)(F.col(text).cast("string"))
         if k == 0:
             docs = docs.withColumn(into, found)
         else:
-            docs = docs.withColumn(other, found).withColumn(into, merge_found(into, other)).drop(other)
+            docs = docs.withColumn(other, found).withColumn(into, merge(into, other)).drop(other)
     return docs
 
 
+def with_found(docs: DataFrame, benchmark: DataFrame, into: str, **how) -> DataFrame:
+    """``docs`` with a column ``into``: n_words, hit spans of words and the ids of the items found in each text.
+
+    ``how`` names the columns (``text``, ``item_id``, ``item_text``), the ``window`` in words and the bounds of memory
+    (``shard_bytes``, ``block_words``).
+    """
+    return looked_up(docs, benchmark, into, (FOUND_ARROW, FOUND, found_in, merge_found), **how)
+
+
 def hit_words(found: str):
     """The number of words inside the spans of a ``with_found`` column."""
     spans = F.col(f"{found}.spans")
@@ -348,27 +454,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     return with_found(docs, benchmark, found, **how).filter(F.size(f"{found}.spans") == 0).drop(found)
 
 
-def longest_matches(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    item_id: str = "item_id",
-    item_text: str = "text",
-    window: int = WINDOW,
-    shard_bytes: int = SHARD_BYTES,
-    block_words: int = BLOCK_WORDS,
-) -> DataFrame:
-    """One row per maximal verbatim match of at least a window: document and word, item and word, length in words.
-
-    An item longer than a block has its matches cut at the block's border.
-    """
-    context = docs.sparkSession.sparkContext
-    out = None
-    for test in test_blocks(benchmark, item_id, item_text, window, block_words):
-        find = finder(context.broadcast(astuple(test)), MATCHES_ARROW, MATCHES, matches_in, shard_bytes)
-        part = docs.select(
-            F.col(doc_id).alias("doc_id"), F.inline(find(F.col(text).cast("string")))
-        )
-        out = part if out is None else out.unionAll(part)
-    return out
+def longest_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
+    """One row per maximal verbatim match of at least a window (or of a whole shorter item): document, item, first word
+    in the item and in the document, length in words. ``how`` as for ``with_found``."""
+    found = spare_name(docs, "_found")
+    matches = looked_up(docs, benchmark, found, (MATCHES_ARROW, MATCHES, matches_in, merge_matches), **how)
+    return matches.select(F.col(doc_id).alias("doc_id"), F.inline(found)).drop("item_row")
