@@ -24,6 +24,8 @@ from helioframe.schema import TALL, Axis
 _NEXT = "__next"
 _LISTED = "__listed"
 CARRIED = "__carried"
+#: Most grid rows meant for one task where they are sorted once more, as for lags, and fewest while cores are idle.
+GRID_ROWS, FEW_GRID_ROWS = 1_000_000, 100_000
 
 
 def _span_skeleton(series: DataFrame | None, spark: SparkSession, count: int) -> DataFrame:
@@ -79,6 +81,13 @@ def common_series(feeds: Sequence[DataFrame], axis: Axis = TALL) -> DataFrame |
     return reduce(lambda a, b: a.join(b, list(axis.keys), "inner"), distinct)
 
 
+def _estimated_series(tables: Sequence[DataFrame], axis: Axis) -> int:
+    """About how many series (5 % error) the table with the fewest has; read and sketched at once, without a shuffle of rows."""
+    if not axis.keys:
+        return 1
+    return min(t.agg(F.approx_count_distinct(F.xxhash64(*axis.keys))).head()[0] for t in tables)
+
+
 def align_within_spans(
     feeds: Sequence[DataFrame],
     start: str | datetime,
@@ -101,6 +110,11 @@ def align_within_spans(
     ``start`` as its origin. The ``carry`` columns of ``series`` come back on every row as one
     struct, ``CARRIED``: they ride on the one row per series and span that opens a span, so
     no row is joined to them.
+
+    Bytes of the shuffle do not tell how many hours a task writes out. With ``emit_back``,
+    for lags that sort these hours, the shuffle therefore has a partition per ``GRID_ROWS``
+    hours, or per ``FEW_GRID_ROWS`` while that makes no more tasks than cores. The number of
+    series that this needs is estimated at once, in a pass of its own over the key columns.
     """
     if on_duplicate not in ("fail", "mean"):
         raise ValueError(f"on_duplicate must be 'fail' or 'mean', got {on_duplicate!r}")
@@ -132,6 +146,11 @@ def align_within_spans(
     else:
         listed = series.select(*axis.keys).distinct()
     carried = [CARRIED] if series is not None and carry else []
+    dealt: list[int | str] = [*axis.keys, SPAN]
+    if emit_back:
+        emitted = _estimated_series(feeds if series is None else [series], axis) * (hours + count * emit_back)
+        cores = feeds[0].sparkSession.sparkContext.defaultParallelism
+        dealt.insert(0, max(2, -(-emitted // GRID_ROWS), min(cores, -(-emitted // FEW_GRID_ROWS))))
     skeleton = _span_skeleton(listed, feeds[0].sparkSession, count).select(
         *axis.keys,
         SPAN,
@@ -143,7 +162,7 @@ def align_within_spans(
 
     seen = [f"__feed{i}" for i in range(len(feeds))]
     merged = (
-        stacked.repartition(*axis.keys, SPAN)
+        stacked.repartition(*dealt)
         .groupBy(*axis.keys, SPAN, HOUR)
         .agg(
             *[F.max(c).alias(c) for c in columns],

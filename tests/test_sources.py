@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from helioframe.operators import grid
 from helioframe.operators.lags import add_lag_features
 from helioframe.operators.physics import SITE_PARAMETERS, add_physics, add_physics_features
 from helioframe.plans.dataset import build_dataset, build_features, build_wide_dataset
@@ -182,6 +183,21 @@ def test_features_in_one_pass_equal_step_by_step(spark, raw_dir):
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and a.count() == 96
 
 
+def test_a_task_of_the_feature_build_writes_out_a_bounded_grid(spark, frame, monkeypatch):
+    monkeypatch.setattr(grid, "GRID_ROWS", 2000)
+    reading = frame(
+        [(f"s{k}", "2020-01-01 00:00:00", 1.0, 2.0, 3.0) for k in range(40)],
+        "series_id string, ts timestamp_ntz, generation double, capacity double, load double",
+    )
+    weather = reading.selectExpr("series_id", "ts", "1.0D temperature", "2.0D direct", "3.0D diffuse")
+    config = PreprocessConfig(overlap_start="2020-01-01", overlap_end="2020-02-09 23:00:00")
+    built = build_features(reading, weather, None, config, lags=(1, 24), span_hours=48)
+    sizes = [r["count"] for r in built.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 40 * 960
+    # All of it comes from a few bytes of readings; of 29 partitions none holds much more than its share.
+    assert len(sizes) > 20 and max(sizes) < 4000
+
+
 def test_dataset_store(spark, raw_dir, tmp_path):
     calls = []
 
