@@ -481,6 +481,22 @@ def test_bpe_equals_the_library(spark, docs, odd, ranks):
     assert bpe.digests(odd, path, public_tokenizers.PATTERN).where("n_tokens = 0").count() == 2
 
 
+def test_pieces_that_begin_alike_share_the_prefix_table(ranks, monkeypatch):
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    append, computed = bpe.PrefixTable.append, []
+    monkeypatch.setattr(bpe.PrefixTable, "append", lambda table, more: (computed.append(len(more)), append(table, more)))
+    monkeypatch.setattr(bpe, "LONG_PIECE", 200)
+    rng = random.Random(8)
+    ends = ["".join(rng.choices("abcdeinorst", k=4)) for _ in range(300)]
+    texts = ["", *(f" nearlyalikebeginning{end} {'ab' * k}" for k, end in enumerate(ends)), "", "é" * 500]
+    encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    for _ in range(2):  # then all pieces are known
+        assert list(encoder.encode_all(texts)) == [library.encode_ordinary(text) for text in texts]
+    words = sum(len(text.split()[0]) + 1 for text in texts[1:-2])
+    longer = sum(2 * k + 1 for k in range(100, 300)) + 1000  # pieces of more than 200 bytes are computed for themselves
+    assert sum(computed) < longer + words / 2
+
+
 def test_appends_and_edits_are_exact(ranks):
     vocabulary = bpe.Vocabulary(ranks)
     rng = random.Random(5)
