@@ -25,7 +25,7 @@ from helioframe.plans.dataset import build_dataset, build_features, clean_readin
 from helioframe.plans.profile import quality_profile
 from helioframe.schema import CALENDAR_COLUMNS, LAG_FEATURES, PHYSICS_COLUMNS
 from helioframe.session import shared_folder, stored
-from helioframe.sources.integrity import verify_files
+from helioframe.sources.integrity import file_digests, list_files, verify_files
 from helioframe.sources.run_store import read_runs, results_summary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -525,15 +525,16 @@ def model_comparison_trees(spark: SparkSession, d: str) -> DataFrame:
 def file_integrity(spark: SparkSession, d: str) -> DataFrame:
     """Every table file against a manifest written beforehand; one digest is spoiled, one file has none."""
     paths = f"{d}/*.parquet"
-    files = spark.read.format("binaryFile").load(paths)
-    name = F.element_at(F.split("path", "/"), -1)
-    manifest = files.select(
-        name.alias("file"),
-        F.when(name == "orders.parquet", F.upper(F.md5("content")))
-        .when(name == "lineitem.parquet", F.sha1("content"))
-        .when(name == "supplier.parquet", F.reverse(F.md5("content")))
-        .when(name == "nation.parquet", "")
-        .otherwise(F.sha2("content", 256))
+    files = list_files(spark, paths).select("path", "file")
+    name = F.col("file")
+    algo = F.when(name.isin("orders.parquet", "supplier.parquet"), "md5").when(name == "lineitem.parquet", "sha1").otherwise("sha256")
+    digests = file_digests(spark, paths, files.select("path", algo.alias("algo")).where(name != "nation.parquet"))
+    # By path: tables may be folders, with files of the same names.
+    manifest = files.join(digests, "path", "left").select(
+        "path",
+        F.when(name == "orders.parquet", F.upper("actual"))
+        .when(name == "supplier.parquet", F.reverse("actual"))
+        .otherwise(F.coalesce("actual", F.lit("")))
         .alias("expected"),
     )
     checked = verify_files(spark, paths, stored(manifest))

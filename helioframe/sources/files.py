@@ -1,4 +1,4 @@
-"""Existence checks through the Hadoop file system, so that any storage works."""
+"""Existence checks and schemes through the Hadoop file system, so that any storage works."""
 
 from __future__ import annotations
 
@@ -11,5 +11,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(system.exists(target))
 
 
+def scheme(spark: SparkSession, path: str) -> str:
+    """``file`` for a path on local storage, else the scheme of its file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme()
+
+
 def join_path(folder: str, *parts: str) -> str:
     return "/".join([str(folder).rstrip("/"), *parts])

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.queries import file_integrity
 from helioframe.operators import grid
 from helioframe.operators.lags import add_lag_features
 from helioframe.operators.physics import SITE_PARAMETERS, add_physics, add_physics_features
@@ -266,6 +267,27 @@ def test_file_integrity(spark, tmp_path):
     assert {r["path"][-5:]: r["status"] for r in mixed.collect()} == {"a.csv": "mismatch", "b.csv": "verified"}
 
 
+def test_file_integrity_of_folders_and_of_a_file_too_large_for_a_row(spark, tmp_path):
+    for table in ("pages", "labels"):
+        (tmp_path / f"{table}.parquet").mkdir()
+        for part in ("part-0.parquet", "part-1.parquet"):
+            (tmp_path / f"{table}.parquet" / part).write_bytes(f"{table} {part}".encode())
+    for name in ("orders", "supplier", "nation", "region"):
+        (tmp_path / f"{name}.parquet").write_bytes(name.encode())
+    with open(tmp_path / "lineitem.parquet", "wb") as file:  # takes no space
+        file.truncate((1 << 31) + 5)
+    got = sorted(map(tuple, file_integrity(spark, str(tmp_path)).collect()))
+    parts = [(f"part-{i}.parquet", "sha256", "verified") for i in (0, 0, 1, 1)]
+    assert got == [
+        ("lineitem.parquet", "sha1", "verified"),
+        ("nation.parquet", None, "skipped"),
+        ("orders.parquet", "md5", "verified"),
+        *parts,
+        ("region.parquet", "sha256", "verified"),
+        ("supplier.parquet", "md5", "mismatch"),
+    ]
+
+
 def test_profile_of_the_wide_feeds(spark, raw_dir, tmp_path):
     ts, wx = raw_feeds.load_profile_feeds(spark, raw_dir)
     write_wide_profile(ts, wx, str(tmp_path), year=2018)
